@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from sphereframe.llm import rules
+from sphereframe.llm import packing, rules, tokens
 
 QUERIES = {
+    "op5_token_counts": tokens.op5_token_counts,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op9_quality_rules": rules.op9_quality_rules,
 }
 ORACLES: dict[str, str] = {}
