@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from sphereframe.llm import packing, rules, tokens
+from sphereframe.llm import packing, quality, rules, secrets, tokens
 
 QUERIES = {
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op9_quality_rules": rules.op9_quality_rules,
+    "op10_secret_scan": secrets.op10_secret_scan,
 }
 ORACLES: dict[str, str] = {}
