@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sphereframe.llm import lm, minhash, packing, quality, rules, secrets, tokens
+from sphereframe.llm import debruijn, lm, minhash, packing, quality, rules, secrets, tokens
 
 QUERIES = {
     "op2_quality_classifier": quality.op2_quality_classifier,
+    "op3_substring_dedup": debruijn.op3_substring_dedup,
     "op4_backoff_automaton": lm.op4_backoff_automaton,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
