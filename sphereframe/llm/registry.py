@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sphereframe.llm import debruijn, lm, minhash, packing, quality, rules, secrets, tokens
+from sphereframe.llm import debruijn, lm, minhash, packing, quality, rules, secrets, suffixes, tokens
 
 QUERIES = {
     "op2_quality_classifier": quality.op2_quality_classifier,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_backoff_automaton": lm.op4_backoff_automaton,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_suffix_array_dedup": suffixes.op7_suffix_array_dedup,
     "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_secret_scan": secrets.op10_secret_scan,
