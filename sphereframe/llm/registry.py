@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sphereframe.llm import debruijn, lm, minhash, packing, quality, rules, secrets, suffixes, tokens
+from sphereframe.llm import debruijn, decontam, lm, minhash, packing, quality, rules, secrets, suffixes, tokens
 
 QUERIES = {
+    "op1_decontamination": decontam.op1_decontamination,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_substring_dedup": debruijn.op3_substring_dedup,
     "op4_backoff_automaton": lm.op4_backoff_automaton,
@@ -15,4 +16,6 @@ QUERIES = {
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_decontamination": decontam.OP1_SQL,
+}
