@@ -78,9 +78,10 @@ def fit_thresholds(df: DataFrame, names: dict[str, str], lang: str = "lang", sou
     Partial KLL sketches are made on the map side for each group and salt, then merged for each group and
     once more for all rows; rows without words take no part.
     """
-    salted = df.where(F.col(f"`{names['n_words']}`") > 0).groupBy(
+    some = F.col(f"`{names['n_words']}`") > 0
+    salted = df.groupBy(
         F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"), F.floor(F.rand(7) * SALTS).alias("salt")
-    ).agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(F.col(f"`{names[k]}`")).alias(k) for k in FENCES])
+    ).agg(F.count_if(some).alias("n"), *[F.kll_sketch_agg_double(F.when(some, F.col(f"`{names[k]}`"))).alias(k) for k in FENCES])
     merged = materialize(salted.groupBy("lang", "source").agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(k).alias(k) for k in FENCES]))
     whole = merged.groupBy().agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(k).alias(k) for k in FENCES]).where("n > 0").select(
         F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(True).alias("whole"), "n", *FENCES)
@@ -129,7 +130,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose verdict is kept; their columns are unchanged."""
     df, names = metrics(docs)
-    limits = fit_thresholds(df, names)
+    df = materialize(df)  # else a filter on the verdict would be pushed down and compute every count again, for each use
     verdict = fresh(df, "_kept")
-    out = judge(df, names, limits, verdict)
+    out = judge(df, names, fit_thresholds(df, names), verdict)
     return out.where(F.col(verdict)).select(*[F.col(f"`{c}`") for c in docs.columns])
