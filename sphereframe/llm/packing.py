@@ -35,11 +35,32 @@ def _id_bytes(text: str, path: str) -> bytes:
     return np.asarray(tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def encode_ids(text: str, path: str, cache: Cache) -> bytes:
+def _byte_letters() -> dict[int, str]:
+    """The printable letters by which byte-level vocabularies write the 256 bytes."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
+def chunk_cache(path: str) -> Cache:
+    """Ids of the lower-case chunks between white space, made of the ids of their pre-tokens."""
+    model = tokenizer(path).model
+
+    def word(t: str) -> bytes:
+        return np.asarray([x.id for x in model.tokenize(t.encode().decode("latin-1").translate(_LETTERS))], "<u4").tobytes()
+
+    words = Cache(word)
+    return Cache(lambda chunk: b"".join(map(words.__getitem__, _WORDS.findall(chunk))))
+
+
+def encode_ids(text: str, path: str, chunks: Cache) -> bytes:
     """The text's ids as little-endian 32-bit numbers, closed by id 0."""
     if UNUSUAL.search(text) or any(s in text for s in special_strings(path)):
         return _id_bytes(text, path) + bytes(4)
-    return b"".join(map(cache.__getitem__, _WORDS.findall(text.lower()))) + bytes(4)
+    return b"".join(map(chunks.__getitem__, text.lower().split())) + bytes(4)
 
 
 class Solver:
@@ -152,7 +173,7 @@ def pieces_of(docs: DataFrame, path: str, cap: int, doc_id: str, text: str) -> D
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, rank, chunk = Cache(lambda t: _id_bytes(t, path)), Counter(), TaskContext.get().partitionId()
+        cache, rank, chunk = chunk_cache(path), Counter(), TaskContext.get().partitionId()
         for b in batches:
             out: list[list] = [[] for _ in range(6)]
             where = []

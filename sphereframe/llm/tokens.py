@@ -13,6 +13,7 @@ classes regular-expression libraries may differ, goes to the library whole.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,7 +31,7 @@ CACHE, CACHE_CHARS = 400_000, 64
 LIMIT = 1024
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Beyond ASCII and Latin letters a whole text goes to the library.
-UNUSUAL = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ–—‘-”…]")
+UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ–—‘-”…]")
 
 
 def vocabulary_path(name: str) -> str:
@@ -58,16 +59,19 @@ def special_strings(path: str) -> tuple[str, ...]:
 
 
 class Cache(dict):
-    """Values made when first asked for; emptied when full, long keys never kept."""
+    """Values made when first asked for.  When full it becomes the older of two generations; long keys are never kept."""
 
     def __init__(self, make, first=()):
         super().__init__(first)
-        self.make, self.first = make, dict(first)
+        self.make, self.first, self.old = make, dict(first), {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= CACHE_CHARS:
             if len(self) >= CACHE:
+                self.old = dict(self)
                 self.clear()
                 self.update(self.first)
             self[key] = value
