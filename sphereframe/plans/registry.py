@@ -1,14 +1,5 @@
 """Every grid query by name, with the SQL that gives the same rows."""
 
-from __future__ import annotations
+from sphereframe.plans.queries import ORACLES, QUERIES, flagship
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "flagship"]
