@@ -64,10 +64,13 @@ def encode_ids(text: str, path: str, chunks: Cache) -> bytes:
 
 
 class Solver:
-    """Fills sequences of cap from counts of lengths; patterns is a list of (lengths, how many)."""
+    """Fills sequences of cap from counts of lengths; patterns is a list of (lengths, how many).
 
-    def __init__(self, counts: dict[int, int], cap: int):
-        self.cap, self.patterns = cap, []
+    depth is the most lengths that may fill a gap exactly, up to 3.
+    """
+
+    def __init__(self, counts: dict[int, int], cap: int, depth: int = 3):
+        self.cap, self.depth, self.patterns = cap, depth, []
         self.count = np.zeros(cap + 1, np.int64)
         for length, n in counts.items():
             self.count[length] += n
@@ -101,10 +104,12 @@ class Solver:
     def _exact(self, gap: int) -> tuple[int, ...] | None:
         if not gap:
             return ()
-        if self.count[gap] > 0:
+        if self.depth > 0 and self.count[gap] > 0:
             return (gap,)
-        if pair := self._pair(gap):
+        if self.depth > 1 and (pair := self._pair(gap)):
             return pair
+        if self.depth < 3:
+            return None
         tried = 0
         long = np.arange(gap - 2, 0, -1)
         for x in long[(self.count[long] > 0) & self.pairs[gap - long]]:
@@ -151,6 +156,12 @@ class Solver:
         self.patterns += [(lengths, n) for group in opened.values() for lengths, n in group]
 
 
+def solve(counts: dict[int, int], cap: int) -> list[tuple[tuple[int, ...], int]]:
+    """The patterns of the depth that needs the fewest sequences: deep combinations can use up the short pieces that
+    best-fit would have placed better.  Only the histogram is gone over, so this costs the same for any input."""
+    return min((Solver(counts, cap, depth).patterns for depth in (3, 2, 1, 0)), key=lambda p: sum(n for _, n in p))
+
+
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     """For each length, rows of (first rank, first sequence, offset), by rank."""
     made: dict[int, list] = {}
@@ -197,7 +208,7 @@ def pack(docs: DataFrame, path: str, cap: int = CAP, doc_id: str = "doc_id", tex
     pieces = materialize(pieces_of(docs, path, cap, doc_id, text))
     counts = materialize(pieces.groupBy("_chunk", "length").agg(F.count(F.lit(1)).alias("_n")))
     histogram = {int(r.length): int(r.n) for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most cap rows
-    places = docs.sparkSession.sparkContext.broadcast(slots(Solver(histogram, cap).patterns))
+    places = docs.sparkSession.sparkContext.broadcast(slots(solve(histogram, cap)))
     earlier = Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("_chunk", "length", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     ranked = pieces.join(before, ["_chunk", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("_rank")).alias("_rank"))
