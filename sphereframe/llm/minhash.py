@@ -4,9 +4,9 @@ Texts with equal shingle sets form one node.  A node's signature is one-permutat
 BANDS * ROWS bins, empty bins filled by optimal densification; small sets, whose bins would mostly be
 copies, get as many independent permutations instead (sets between the two limits get both, so that any two
 sets within the threshold's size ratio share a kind).  A bucket gives star-shaped edges from one centre to
-its members, never all pairs; edges are confirmed on full sets.  A failed edge does not end the search: in
-buckets that still hold several components further centres are tried, and what is then left is settled by
-the pairs that cross components, without those inside the bucket's largest one.  Hence no cap anywhere.
+its members, never all pairs; edges are confirmed on full sets.  A bucket's centre is the member that shares
+buckets with most others.  A failed edge does not end the search: where buckets still hold several components, every set
+outside the largest one is compared, in blocks, with those of other components.  Hence no cap anywhere.
 
 Defined results: null, empty and wordless texts have no shingles and link with nothing (a component of
 their own); a text of fewer than two words has one shingle; equal rows are in one component; a null doc_id
@@ -32,8 +32,8 @@ BANDS, ROWS, PERCENT = 32, 4, 80
 BINS = BANDS * ROWS
 #: Sets up to SMALL get independent permutations, sets from PERCENT of that on one-permutation bins.
 SMALL = 96
-#: Rounds with another centre before the remaining buckets are settled by their cross-component pairs.
-CENTRES = 2
+#: Sets of a block when what the stars leave open is compared.
+BLOCK = 256
 _U = np.uint64
 
 
@@ -147,12 +147,51 @@ def _pairs(stars: DataFrame) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, node, comp) of the buckets with members of several components."""
+    """(key, node, comp) of the buckets with members of several components, two apart: their edge has been tested."""
     own = members.join(comps.select(F.col("id").alias("node"), "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     mixed = own.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where("x != y and n > 2").select("key")
     return own.join(mixed, "key", "left_semi")
 
 
+def _settle(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components that share a bucket of open_ (key, node, comp).
+
+    Buckets that share nodes make a family.  In it every node outside the largest component meets every node
+    of another component, in blocks of about BLOCK by BLOCK sets: a set travels once a block, not once a pair,
+    and only links come back.
+    """
+    first = open_.groupBy("key").agg(F.min("node").alias("a"))
+    family = components(open_.join(first, "key").select("a", F.col("node").alias("b")))
+    nodes = materialize(open_.select("node", "comp").distinct().join(family.select(F.col("id").alias("node"), F.col("component").alias("family")), "node"))
+    sizes = nodes.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.max("n").alias("held"), F.sum("n").alias("all"))
+    blocks = sizes.select("family", "most", F.ceil((F.col("all") - F.col("held")) / BLOCK).cast("int").alias("fs"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ms"))
+    rows = nodes.join(blocks, "family").join(sets, "node")
+    deal = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    every = F.transform(F.sequence(F.lit(0), F.col("fs") - 1), lambda i: F.struct(i.alias("f"), deal("ms", 1).alias("m"), F.lit(False).alias("few")))
+    few = F.when(F.col("comp") != F.col("most"), F.transform(F.sequence(F.lit(0), F.col("ms") - 1), lambda i: F.struct(deal("fs", 2).alias("f"), i.alias("m"), F.lit(True).alias("few")))).otherwise(F.expr("array()"))
+    dealt = rows.select("family", "node", "comp", "shingles", F.explode(F.concat(every, few)).alias("x")).select("family", "x.f", "x.m", "x.few", "node", "comp", "shingles")
+
+    def block(group):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        few, all_ = group[group["few"]], group[~group["few"]]
+        out = ([], [])
+        if len(few) and len(all_):
+            sizes = np.array([len(x) for x in all_["shingles"]])
+            flat, starts = np.concatenate(list(all_["shingles"])), np.r_[0, np.cumsum(sizes)[:-1]]
+            comp, node = all_["comp"].to_numpy(), all_["node"].to_numpy()
+            for a, c, x in zip(few["node"], few["comp"], few["shingles"], strict=True):
+                own = np.sort(x)
+                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                both = np.add.reduceat((own[at] == flat).astype(np.int64), starts)
+                for hit in node[(100 * both >= PERCENT * (sizes + len(own) - both)) & (comp != c)]:
+                    out[0].append(int(a))
+                    out[1].append(int(hit))
+        return pd.DataFrame({"a": np.array(out[0], np.int64), "b": np.array(out[1], np.int64)})
+
+    return dealt.groupBy("family", "f", "m").applyInPandas(block, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     """docs: doc_id, text.  doc_id, n_shingles, component_id, kept of every row."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -160,32 +199,22 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     nodes = materialize(signed.where("node is not null").groupBy("node").agg(F.min(d).alias("d"), F.first("keys").alias("keys")))
     members = nodes.select("node", F.explode("keys").alias("key")).select("key", "node")
-    centres = members.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
-    crowded = materialize(members.join(centres, "key"))
-    members = crowded.select("key", "node")
-    tested = materialize(_pairs(crowded.select("a", F.col("node").alias("b"))))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialize(members.join(shared, "key"))
+    # the member that meets most others, over all its buckets, is the likeliest to be near them all
+    weight = members.groupBy("node").agg(F.sum("n").alias("w"))
+    centres = members.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("w", "node")).alias("a"))
+    members = members.select("key", "node")
+    tested = materialize(_pairs(members.join(centres, "key").select("a", F.col("node").alias("b"))))
     needed = nodes.select("node", "d").join(members.select("node").distinct(), "node", "left_semi")
     sets = materialize(_sets(docs, needed, size))
     links = materialize(_confirm(tested, sets))
     comps = components(links)
-    for turn in range(CENTRES + 1):
-        open_ = materialize(_unsettled(members, comps))
-        if open_.isEmpty():
-            break
-        members = open_.select("key", "node")
-        if turn < CENTRES:
-            centre = open_.groupBy("key").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("c")).select("key", F.col("c.node").alias("a"), F.col("c.comp").alias("ca"))
-            stars = open_.join(centre, "key").where("comp != ca").select("a", F.col("node").alias("b"))
-        else:
-            sizes = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"))
-            few = open_.join(sizes, "key").where("comp != most").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"))
-            stars = open_.join(few, "key").where("comp != ca").select("a", F.col("node").alias("b"))
-        new = materialize(_pairs(stars).join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(new)
-        found = materialize(_confirm(new, sets))
+    open_ = materialize(_unsettled(members, comps))
+    if not open_.isEmpty():
+        found = materialize(_settle(open_, sets))
         if not found.isEmpty():
-            links = links.unionByName(found)
-            comps = components(links)
+            comps = components(links.unionByName(found))
     named = nodes.select("node", "d").join(comps.select(F.col("id").alias("node"), "component"), "node", "left").select("node", "d", F.coalesce("component", "node").alias("comp"))
     named = materialize(named)
     least = named.join(named.groupBy("comp").agg(F.min("d").alias("least")), "comp").select("node", "least")
