@@ -1,6 +1,6 @@
 """Stores as Parquet tables: path grammar, manifest, catalog of products, scans, and the one writer.
 
-A store is a folder with a manifest (morton_hive.json), the table cells partitioned by product, window and
+A store is a folder with a manifest (manifest.json), the table cells partitioned by product, window and
 shard_k with rows sorted by k, and small tables of metadata: root_ranges, leaf_meta, toc_map, sidecars.
 Everything is read by Spark's own readers, so any file system that Spark knows will do.
 """
@@ -19,8 +19,8 @@ from sphereframe.functions import cells as C
 from sphereframe.operators import coverage as V
 from sphereframe.operators import verify as Y
 
-SPECS = ("morton-hive/1", "morton-hive/2")
-MANIFEST = "morton_hive.json"
+SPECS = ("cell-store/1", "cell-store/2")
+MANIFEST = "manifest.json"
 _PRODUCT = re.compile(r"[a-z0-9_-]{1,192}")
 _WINDOW = re.compile(r"[0-9A-Za-z-]{1,32}")
 _BASE = re.compile(r"-?[1-6]")
