@@ -172,6 +172,8 @@ def release(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    out = materialize(df)
-    release(df.sparkSession)
+    """df as a stored table; its own shuffle files can go once nothing refers to df."""
+    spark, out = df.sparkSession, materialize(df)
+    del df
+    release(spark)
     return out
