@@ -103,3 +103,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
+#: The same rows in SQL, for tables with unique ids.
+OP3_SQL = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM w WHERE len(w) >= 13),
+windows AS (SELECT doc_id, p, array_to_string(w[p : p + 12], ' ') AS s FROM places),
+firsts AS (SELECT s, min(doc_id) AS f FROM windows GROUP BY s),
+late AS (SELECT doc_id, p FROM windows JOIN firsts USING (s) WHERE f < doc_id),
+gone AS (SELECT DISTINCT doc_id, p + unnest(range(13)) AS i FROM late),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS k, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""

@@ -232,3 +232,20 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = fresh(docs, "_gone")
     gone = near_duplicates(docs, 5).where("not kept").select(F.col("doc_id").alias(own)).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(own)), "left_anti")
+
+
+#: The same rows in SQL, for tables with unique ids.  Sets within the threshold share one of their rarest shingles, a fifth of them and one.
+OP8_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM w),
+copies AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS rep FROM s WHERE len(s) > 0),
+reps AS (SELECT doc_id, s, len(s) AS n FROM s WHERE doc_id IN (SELECT rep FROM copies)),
+single AS (SELECT doc_id, n, unnest(s) AS x FROM reps),
+rare AS (SELECT doc_id, n, x, row_number() OVER (PARTITION BY doc_id ORDER BY c, x) AS r FROM single JOIN (SELECT x, count(*) AS c FROM single GROUP BY x) USING (x)),
+heads AS (SELECT doc_id, n, x FROM rare WHERE r <= n - (8 * n + 9) // 10 + 1),
+pairs AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM heads a JOIN heads b USING (x) WHERE a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+both_ AS (SELECT a, b, x.n + y.n AS n, len(list_intersect(x.s, y.s)) AS k FROM pairs JOIN reps x ON x.doc_id = a JOIN reps y ON y.doc_id = b),
+links AS (SELECT a, b FROM both_ WHERE 100 * k >= 80 * (n - k)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM reps UNION SELECT r.a, w.b FROM reach r JOIN ways w ON w.a = r.b),
+named AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(least, s.doc_id) AS component_id, coalesce(least, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN copies USING (doc_id) LEFT JOIN named ON named.a = copies.rep"""

@@ -18,4 +18,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontam.OP1_SQL,
+    "op3_substring_dedup": debruijn.OP3_SQL,
+    "op7_suffix_array_dedup": suffixes.OP7_SQL,
+    "op8_minhash_near_dedup": minhash.OP8_SQL,
 }

@@ -251,3 +251,18 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
+#: The same rows in SQL, for tables with unique ids: removed spans are runs of late starts at most WINDOW apart.
+OP7_SQL = f"""WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+places AS (SELECT doc_id, b, unnest(range(1, octet_length(b) - {WINDOW - 2})) AS p FROM b WHERE octet_length(b) >= {WINDOW}),
+windows AS (SELECT doc_id, p, md5(b[p : p + {WINDOW - 1}]) AS s FROM places),
+late AS (SELECT doc_id, p FROM windows QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+marked AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= {WINDOW} THEN 0 ELSE 1 END AS fresh FROM late),
+runs AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS r FROM marked),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + {WINDOW - 1} AS z FROM runs GROUP BY doc_id, r),
+gaps AS (SELECT doc_id, z + 1 AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS e FROM spans UNION ALL SELECT doc_id, 1 AS a, min(a) AS e FROM spans GROUP BY doc_id),
+kept AS (SELECT g.doc_id, string_agg(hex(b[g.a : coalesce(g.e - 1, octet_length(b))]), '' ORDER BY g.a) AS k FROM gaps g JOIN b USING (doc_id) WHERE g.a <= coalesce(g.e - 1, octet_length(b)) GROUP BY g.doc_id),
+counts AS (SELECT doc_id, count(*) AS n, CAST(sum(z - a + 1) AS BIGINT) AS removed FROM spans GROUP BY doc_id)
+SELECT b.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(n, 0) AS n_spans, sha256(CASE WHEN n IS NULL THEN b ELSE unhex(coalesce(k, '')) END) AS kept_sha256
+FROM b LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)"""
