@@ -6,8 +6,8 @@ training hashes are joined; each hit aligns an item with a document, and of each
 tokens around the hit are compared: it counts where some SPAN tokens in a row (the whole item if that is
 shorter) agree in PERCENT of the places or more.
 
-The test side is small and broadcast only after a check of its row count; beyond BROADCAST rows it is a
-shuffled join.  Defined results: null or empty texts hit nothing, as do items of fewer tokens than a mask is
+The test side is broadcast only after a check of its rows and bytes; beyond BROADCAST or BROADCAST_BYTES it
+is a shuffled join.  Defined results: null or empty texts hit nothing, as do items of fewer tokens than a mask is
 long; equal rows give one result for a doc_id and item; a null doc_id is reported as null; empty tables give
 an empty result.
 """
@@ -22,7 +22,7 @@ from sphereframe.llm.common import ascii_lower, fresh, let, table
 #: Selected places; the first is always 0.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 6, 8, 9), (0, 2, 3, 5, 9, 10))
 SPAN, PERCENT = 13, 80
-BROADCAST = 2_000_000
+BROADCAST, BROADCAST_BYTES = 2_000_000, 64 << 20
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -42,7 +42,9 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs: doc_id, text; items: item_id, text.  doc_id, item_id and n_equal: agreeing tokens of the best SPAN."""
     tests = items.select("item_id", _tokens(F.col("text")).alias("t")).groupBy("t").agg(F.collect_set("item_id").alias("item_ids"))
     probe = _seeds(tests, ["item_ids"]).select(F.col("seed"), F.col("p").alias("ip"), F.col("t").alias("it"), "item_ids").dropDuplicates(["seed", "ip", "it"])
-    small = probe.count() <= BROADCAST
+    ids = F.aggregate("item_ids", F.lit(0).cast("long"), lambda a, x: a + 8 + F.octet_length(x.cast("string")))
+    found = probe.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(64 + 8 * F.size("it") + ids), F.lit(0)).alias("size")).first()
+    small = found.n <= BROADCAST and found.size <= BROADCAST_BYTES
     seeds = _seeds(docs.select("doc_id", _tokens(F.col("text")).alias("t")), ["doc_id"])
     shift, n = F.col("p") - F.col("ip"), F.size("it")
     if small:  # the slices are cut where the join finds a hit, so no row ever carries a document's tokens
