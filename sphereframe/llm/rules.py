@@ -19,10 +19,12 @@ SALTS = 16
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 #: ratio -> (least distance of the fence from the median, times the spread below the median)
 FENCES = {"symbol_ratio": (0.30, 8.0), "caps_ratio": (0.30, 8.0), "dup_line_ratio": (0.30, 8.0), "repeat_ratio": (0.20, 8.0), "mean_word": (6.0, 8.0)}
+#: Lines added to a document's own in its share of repeated ones, as few lines say little about a share.
+FEW_LINES = 3
 #: A group with fewer rows than this is judged by the thresholds of all rows.
 LEAST_GROUP = 50
-#: Up to so many (lang, source) groups their thresholds are broadcast; beyond it the join is salted.
-BROADCAST_GROUPS = 100_000
+#: Up to so many (lang, source) groups, and bytes of their names, their thresholds are broadcast; beyond it the join is salted.
+BROADCAST_GROUPS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
 def _repeat_words(words: Column, n: Column) -> Column:
@@ -61,7 +63,7 @@ def metrics(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str
     return df.withColumns({
         names["symbol_ratio"]: per("n_symbols", "n_words"),
         names["caps_ratio"]: per("n_caps", "word_chars"),
-        names["dup_line_ratio"]: per("n_dup_lines", "n_lines"),
+        names["dup_line_ratio"]: c["n_dup_lines"] / (c["n_lines"] + FEW_LINES),
         names["repeat_ratio"]: per("n_repeat_words", "n_words"),
         names["mean_word"]: per("word_chars", "n_words"),
     }), names
@@ -97,11 +99,13 @@ def fit_thresholds(df: DataFrame, names: dict[str, str], lang: str = "lang", sou
 def judge(df: DataFrame, names: dict[str, str], thresholds: DataFrame, verdict: str, lang: str = "lang", source: str = "source") -> DataFrame:
     """df with a boolean column: true where the base rules and the group's fences both hold.
 
-    The thresholds' row count is checked: few are broadcast; many are joined with the documents salted, so
-    that no group's documents meet in one task.
+    The thresholds' rows and bytes are checked: few are broadcast; many are joined with the documents salted,
+    so that no group's documents meet in one task.
     """
     own, whole = thresholds.where("not whole"), thresholds.where("whole")
-    small = own.count() <= BROADCAST_GROUPS
+    name = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
+    found = own.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(name("lang") + name("source")), F.lit(0)).alias("size")).first()
+    small = found.n <= BROADCAST_GROUPS and found.size <= BROADCAST_BYTES
     t = {k: fresh(df, f"_f_{k}") for k in ("lang", "source", "salt", *FENCES)}
     w = {k: fresh(df, f"_g_{k}") for k in FENCES}
     limits = own.select(*[F.col(k).alias(t[k]) for k in ("lang", "source", *FENCES)])
