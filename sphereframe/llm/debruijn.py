@@ -64,14 +64,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         if held:
             yield _by_edge(held)
 
-    opened = open_.select("d", "text", "open").mapInArrow(edges, "go bigint, mini bigint, edge bigint, d bigint, at bigint, late boolean")
+    opened = open_.select("d", "text", "open").mapInArrow(edges, R.SPREAD)
     return found.where("covered").select("d", "at").unionByName(R.checkpointed(R.settle(opened, within=False)))
 
 
 def _by_edge(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     """Edges go by their own hash, so that a crowded minimizer's edges spread."""
-    out = R.spread([(e, m, d, at) for m, e, d, at in held], False, ("edge", "mini"))
-    return out.select(["go", "mini", "edge", "d", "at", "late"])
+    return R.spread([(e, m, d, at) for m, e, d, at in held], False)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:

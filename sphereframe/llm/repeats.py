@@ -99,16 +99,30 @@ def _later(keys: list[np.ndarray], d: np.ndarray, at: np.ndarray, within: bool)
     return late
 
 
-def spread(rows: list[tuple[np.ndarray, ...]], within: bool, names: tuple[str, str]) -> pa.RecordBatch:
-    """Rows (two keys, d, at) of a task, with where they go: by the first key, or anywhere if covered already."""
+def spread(rows: list[tuple[np.ndarray, ...]], within: bool) -> pa.RecordBatch:
+    """Rows (two keys, d, at) of a task as go, key, d, at.
+
+    An even go is the first key.  Rows covered already have an odd go, which only spreads them, and no key: they
+    need no more room in the shuffle than their place.
+    """
     a, b, d, at = (np.concatenate(c) for c in zip(*rows, strict=True))
+    a = a & ~_U(1)
     late = _later([a, b], d, at, within)
-    where = np.where(late, mix(at.view(np.uint64) ^ d.view(np.uint64)), a)
-    return pa.RecordBatch.from_arrays([pa.array(where.view(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(d), pa.array(at), pa.array(late)], ["go", *names, "d", "at", "late"])
+    go = np.where(late, mix(at.view(np.uint64) ^ d.view(np.uint64)) >> _U(32) << _U(1) | _U(1), a)
+    return pa.RecordBatch.from_arrays([pa.array(go.view(np.int64)), pa.array(np.where(late, _U(0), b).view(np.int64)), pa.array(d), pa.array(at)], ["go", "key", "d", "at"])
+
+
+SPREAD = "go bigint, key bigint, d bigint, at bigint"
+
+
+def _covered(within: bool):
+    """The place of a row of spread, and whether it is later than the first with its keys."""
+    place = F.struct("d", "at") if within else F.col("d")
+    return place, (F.col("go").bitwiseAND(F.lit(1)) == 1) | (place > F.min(place).over(Window.partitionBy("go", "key")))
 
 
 def scan(rows: DataFrame, units: Callable, window: int, k: int, within: bool) -> DataFrame:
-    """rows: d, text.  The pieces under minimizers that several places have: d, at, mini, covered, crowd.
+    """rows: d, text.  The pieces under minimizers that several places have: d, at, covered, crowd.
 
     units gives a function from a text to its bytes and its 64-bit units; it is called once a task.
     """
@@ -125,24 +139,21 @@ def scan(rows: DataFrame, units: Callable, window: int, k: int, within: bool) ->
                 held.append((mini, body, np.full(len(at), d, np.int64), at))
                 n_held += len(at)
                 if n_held >= HOLD:
-                    yield spread(held, within, ("mini", "body"))
+                    yield spread(held, within)
                     held, n_held = [], 0
         if held:
-            yield spread(held, within, ("mini", "body"))
+            yield spread(held, within)
 
-    found = rows.select("d", "text").mapInArrow(extract, "go bigint, mini bigint, body bigint, d bigint, at bigint, late boolean")
-    place = F.struct("d", "at") if within else F.col("d")
-    same, one = Window.partitionBy("go", "mini", "body"), Window.partitionBy("go", "mini")
-    out = found.withColumn("covered", F.col("late") | (place > F.min(place).over(same)))
+    place, covered = _covered(within)
+    one = Window.partitionBy("go")
+    out = rows.select("d", "text").mapInArrow(extract, SPREAD).withColumn("covered", covered)
     out = out.withColumn("crowd", F.count(F.lit(1)).over(one)).withColumn("several", F.min(place).over(one) < F.max(place).over(one))
-    return out.where("covered or several").select("d", "at", "mini", "covered", "crowd")
+    return out.where("covered or several").select("d", "at", "covered", "crowd")
 
 
 def settle(rows: DataFrame, within: bool) -> DataFrame:
-    """rows as of spread with keys mini and edge; (d, at) of those covered."""
-    place = F.struct("d", "at") if within else F.col("d")
-    first = F.min(place).over(Window.partitionBy("go", "mini", "edge"))
-    return rows.withColumn("covered", F.col("late") | (place > first)).where("covered").select("d", "at")
+    """rows as of spread, their keys an edge's hash and its minimizer; (d, at) of those covered."""
+    return rows.withColumn("covered", _covered(within)[1]).where("covered").select("d", "at")
 
 
 def by_document(rows: DataFrame, name: str) -> DataFrame:

@@ -173,7 +173,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield done()
 
     blocks = open_.repartition("mini").sortWithinPartitions("mini").mapInArrow(block, "d bigint, at bigint")
-    hashed = crowded.select("d", "text", "open").mapInArrow(_edges(window), "go bigint, mini bigint, edge bigint, d bigint, at bigint, late boolean")
+    hashed = crowded.select("d", "text", "open").mapInArrow(_edges(window), R.SPREAD)
     return found.where("covered").select("d", "at").unionByName(R.checkpointed(blocks)).unionByName(R.checkpointed(R.settle(hashed, within=True)))
 
 
@@ -202,7 +202,7 @@ def _edges(window: int):
         of, held, n_held = _reader(), [], 0
 
         def done() -> pa.RecordBatch:
-            return R.spread(held, True, ("edge", "mini")).select(["go", "mini", "edge", "d", "at", "late"])
+            return R.spread(held, True)
 
         for b in batches:
             for d, x, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
