@@ -61,19 +61,21 @@ def two_stage_sort(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     direct = direct[np.argsort(words[direct], kind="stable")]
     tie = np.r_[False, words[direct][1:] == words[direct][:-1]]  # equal so far to the one before
     for at in range(8, depth, 8):
-        open_ = tie | np.r_[tie[1:], False]
-        if not open_.any():
+        where = np.flatnonzero(tie | np.r_[tie[1:], False])
+        if not len(where):
             break
-        where = np.flatnonzero(open_)
-        group = np.cumsum(~tie)[where]
-        own = direct[where]
-        key = words[own + at]
-        order = np.lexsort((key, group))
-        direct[where] = own[order]
-        key, group = key[order], group[order]
-        same = np.r_[False, (key[1:] == key[:-1]) & (group[1:] == group[:-1])]
-        tie = np.zeros(len(direct), bool)
-        tie[where] = same
+        own, new = direct[where], ~tie[where]
+        key, group = words[own + at], np.cumsum(new)
+        unlike = np.r_[False, key[1:] != key[:-1]] & ~new
+        if unlike.any():  # only groups that come apart are sorted; copies stay equal to the end
+            apart = np.zeros(group[-1] + 1, bool)
+            apart[group[unlike]] = True
+            on = np.flatnonzero(apart[group])
+            order = on[np.lexsort((key[on], group[on]))]
+            own[on], key[on] = own[order], key[order]
+            direct[where] = own
+            new |= np.r_[False, key[1:] != key[:-1]]
+        tie[where] = ~new
     return _induce(t, small, direct), words
 
 
