@@ -1,14 +1,14 @@
-"""Log-probabilities by a weighted backoff automaton.
+"""Log-probabilities by a weighted backoff automaton, held in tables.
 
 Model: absolute discounting with backoff, up to ORDER words.  Word counts are exact and cover every training
-text.  States are the n-grams whose share of the training tokens is at least KEEP (counted with lossy
-counting, whose error is at most a tenth of that share), so there can be no more than 1 / KEEP of an order
-whatever the input: that bound is why the automaton may be broadcast.  A state's arcs are its kept
-continuations; its failure arc leads to its longest proper suffix and costs its backoff weight; one
-left-to-right traversal of a text carries the state and adds up log-probabilities.
+text; a longer n-gram is kept where it occurs LEAST times or more, a fixed count, so the model grows with the
+corpus.  States and arcs are rows: the n-grams, named by two 63-bit hashes, with their counts.
 
-Words below KEEP_WORD have no arc: at them the traversal takes failure arcs to the root, and their own
-(exact) counts come from a join of the texts' rare words with the table of rare counts.
+A text's score is a sum over its n-grams.  A kept arc has log p(w | h); a failure arc costs the backoff weight of
+h and goes on at h[1:].  So with every n-gram goes what it adds to the path without it, log p(w | h) -
+bow(h) - log p(w | h[1:]), and, where it is a context, its backoff weight; n-grams that are not kept add
+nothing.  The texts' n-grams are joined with these weights and summed.  Those that take a share KEEP of the training
+tokens (words: KEEP_WORD) are broadcast, at most 1 / KEEP of an order; that decides speed only.
 
 Defined results: null text is empty and scores its end alone; repeated rows are learned and scored one by
 one; a null doc_id is not held out; without training text only the unknown class has mass; an empty table gives an
@@ -17,8 +17,8 @@ empty result.
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +30,15 @@ from pyspark.sql import functions as F
 from sphereframe.llm.common import crc_mod, materialize, table
 
 ORDER = 3
-#: Least share of the training tokens: of a word with an arc from the root, and of a longer n-gram.
+#: Least count of a kept n-gram of two words or more.
+LEAST = 2
+#: Least share of the training tokens of what is broadcast: of a word, and of a longer n-gram.
 KEEP_WORD, KEEP = 2e-6, 1e-5
 DISCOUNT = 0.6
 #: The end of a text, as a token; no word can hold a line feed.
 END = b"\n"
-FLUSH = 300_000
+#: N-grams that a task counts before it hands them on; words whose hashes it remembers.
+FLUSH, WORDS = 2_000_000, 1_000_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -43,33 +46,74 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word, c) over a one-column frame, the end of each text included."""
+class _Names(dict):
+    """Even 63-bit hashes of words."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(c: Counter) -> Iterator[pa.RecordBatch]:
-            for part in [list(c.items())[i : i + 50_000] for i in range(0, len(c), 50_000)]:
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], ["word", "c"])
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS:
+            self.clear()
+        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True) & ~1
+        return h
 
-        counts: Counter = Counter()
-        for b in batches:
-            for x in b.column(0):
-                counts.update(words_of(x.as_py()))
-                counts[END] += 1
-                if len(counts) > FLUSH:
-                    common = Counter(dict(counts.most_common(FLUSH // 4)))
-                    for w in common:
-                        del counts[w]
-                    yield from rows(counts)
-                    counts = common
-        yield from rows(counts)
 
-    return texts.mapInArrow(count, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Odd 63-bit hashes of pairs."""
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    h = a * np.uint64(0x9E3779B97F4A7C15) ^ ((b << np.uint64(31) | b >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F))
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return (h | np.uint64(1)).view(np.int64)
+
+
+def _ngrams(words: np.ndarray, text: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, text) of each order.  A word is (hash, 0), a pair has the words' even hashes, a triple the odd ones of its pairs."""
+    out = [(words, np.zeros(len(words), np.int64), text)]
+    if order > 1:
+        same = text[1:] == text[:-1]
+        x, y = words[:-1], words[1:]
+        out.append((x[same], y[same], text[1:][same]))
+        if order > 2:
+            k, both = _mix(x, y), same[1:] & same[:-1]
+            out.append((k[:-1][both], k[1:][both], text[2:][both]))
+    return out
+
 
+def _hashed(column, names: _Names) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in turn, and the number of each word's text."""
+    words: list[int] = []
+    sizes = []
+    for x in column:
+        w = [*words_of(x.as_py()), END]
+        words += map(names.__getitem__, w)
+        sizes.append(len(w))
+    return np.array(words, np.int64), np.repeat(np.arange(len(sizes)), sizes)
 
-def _merge(keys: np.ndarray, counts: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    k, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-    return k, np.bincount(at, np.concatenate([counts, np.ones(len(new))]), len(k)).astype(np.int64)
+
+def count_ngrams(texts: DataFrame, order: int) -> DataFrame:
+    """(x, y, c) over a one-column frame: every word, the end of each text included, and the n-grams seen LEAST times."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, wait, held = _Names(), [], 0
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            x, y = (np.concatenate([w[i] for w in wait]) for i in (0, 1))
+            _, at, c = np.unique(_mix(x, y), return_index=True, return_counts=True)
+            for i in range(0, len(at), 100_000):
+                on = at[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(x[on]), pa.array(y[on]), pa.array(c[i : i + 100_000])], ["x", "y", "c"])
+
+        for b in batches:
+            if b.num_rows:
+                wait += _ngrams(*_hashed(b.column(0), names), order)
+                held += sum(len(w[0]) for w in wait[-order:])
+            if held >= FLUSH:
+                yield from settle()
+                wait, held = [], 0
+        if wait:
+            yield from settle()
+
+    return texts.mapInArrow(count, "x bigint, y bigint, c bigint").groupBy("x", "y").agg(F.sum("c").alias("c")).where((F.col("y") == 0) | (F.col("c") >= LEAST))
 
 
 class Automaton:
@@ -150,100 +194,104 @@ class Automaton:
         return total
 
 
-def _grams(texts: DataFrame, shared, order: int, tokens: int) -> dict[tuple[int, ...], int]:
-    """Kept n-grams of the order, all of whose (order-1)-grams are kept; lossy counting within a task."""
-    slack = KEEP / 10
+def _look(df: DataFrame, on: str, known: DataFrame, key: str, values: list[str], least: float) -> DataFrame:
+    """df with the values of the row of known whose key is df's column; rows of a frequent key (c) are not moved."""
+    names = [f"_{on}_{v}" for v in values]
+    some = lambda c: known.where(c).select(F.col(key).alias("_at"), *[F.col(v).alias(n) for v, n in zip(values, names, strict=True)])
+    hot = some(F.col("c") >= least).withColumnRenamed("_at", "_hot")
+    met = df.join(F.broadcast(hot), F.col(on) == F.col("_hot"), "left").withColumn("_to", F.when(F.col("_hot").isNull(), F.col(on)).otherwise(F.xxhash64("x", "y")))
+    cold = some(F.col("c") < least).select("_at", *[F.col(n).alias(f"{n}_") for n in names])
+    met = met.join(cold, F.col("_to") == F.col("_at"), "left")
+    return met.select(*df.columns, *[F.when(F.col("_hot").isNull(), F.col(f"{n}_")).otherwise(F.col(n)).alias(n) for n in names])
+
+
+def _bow(own: str, lower: str):
+    """Backoff weight that makes a state's sum one."""
+    return F.log10(F.greatest(1 - F.col(own), F.lit(1e-12)) / F.greatest(1 - F.col(lower), F.lit(1e-12)))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, known = shared.value
-        keys, counts, wait, held, seen, cut = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0, 0, 0
-        index = {g: i for i, g in enumerate(known)}
-
-        def settle() -> None:
-            nonlocal keys, counts, wait, held, cut
-            if wait:
-                keys, counts = _merge(keys, counts, np.concatenate(wait))
-            wait, held = [], 0
-            if (now := int(seen * slack)) > cut:  # what cannot reach the share is forgotten; at most slack of the tokens is lost
-                on = counts > now - cut
-                keys, counts, cut = keys[on], counts[on], now
 
+def _with_pairs(df: DataFrame) -> DataFrame:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in b.column(0):
-                w = np.fromiter((ids.get(t, -1) for t in [*words_of(x.as_py()), END]), np.int64)
-                seen += len(w)
-                if len(w) < order:
-                    continue
-                if order == 2:
-                    a, z = w[:-1], w[1:]
-                else:
-                    code = w.tolist()
-                    a = np.fromiter((index.get(g, -1) for g in zip(*[code[i:] for i in range(order - 1)])), np.int64)
-                    a, z = np.where(a[1:] >= 0, a[:-1], -1), w[order - 1 :]
-                on = (a >= 0) & (z >= 0)
-                wait.append(a[on] << 32 | z[on])
-                held += int(on.sum())
-                if held > 500_000:
-                    settle()
-        settle()
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["gram", "c"])
-
-    counted = texts.mapInArrow(count, "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
-    ids, known = shared.value
-    least = max(2.0, (KEEP - slack) * tokens)
-    rows = counted.where(F.col("c") >= least).collect()  # no more than 1 / (KEEP - slack) rows
-    prefix = [(i,) for i in range(len(ids))] if order == 2 else known
-    return {(*prefix[r.gram >> 32], r.gram & 0xFFFFFFFF): int(r.c) for r in rows}
+            x, y = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_mix(x, y))], ["x", "y", "c", "k"])
+
+    return df.select("x", "y", "c").mapInArrow(add, "x bigint, y bigint, c bigint, k bigint")
+
+
+def weights(counts: DataFrame, n: int, v: int) -> DataFrame:
+    """(x, y, c, s, b, known): what an n-gram adds to the score, and a word to the base score over an unknown one's."""
+    word, gram = max(1.0, KEEP_WORD * n), max(1.0, KEEP * n)
+    words, d = counts.where("y = 0").select("x", "c"), F.lit(DISCOUNT)
+    pairs = _look(_look(_with_pairs(counts.where("y != 0 and (y & 1) = 0")), "x", words, "x", ["c"], word), "y", words, "x", ["c"], word)
+    pairs = materialize(pairs.select("x", "y", "c", "k", ((F.col("c") - d) / F.col("_x_c")).alias("p"), ((F.col("_y_c") - d) / n).alias("lower")))
+    bows = pairs.groupBy("x").agg(F.sum("p").alias("own"), F.sum("lower").alias("low")).select("x", _bow("own", "low").alias("bow"))
+    words = materialize(words.join(bows, "x", "left").select("x", "c", F.coalesce("bow", F.lit(0.0)).alias("bow")))
+    triples = _look(_look(counts.where("(y & 1) = 1"), "x", pairs, "k", ["c"], gram), "y", pairs, "k", ["p"], gram)
+    triples = materialize(triples.select("x", "y", "c", ((F.col("c") - d) / F.col("_x_c")).alias("p"), F.col("_y_p").alias("lower")))
+    bows = triples.groupBy("x").agg(F.sum("p").alias("own"), F.sum("lower").alias("low")).select(F.col("x").alias("k"), _bow("own", "low").alias("bow"))
+    pairs = materialize(_look(pairs.join(bows, "k", "left"), "x", words, "x", ["bow"], word).select("x", "y", "c", "k", "bow", (F.log10("p") - F.log10("lower") - F.col("_x_bow")).alias("s")))
+    triples = _look(triples, "x", pairs, "k", ["bow"], gram)
+    no, none = F.lit(0.0).alias("b"), F.lit(0).alias("known")
+    return (
+        words.select("x", F.lit(0).cast("long").alias("y"), "c", (F.log10((F.col("c") - d) / n) + F.col("bow")).alias("s"), F.log10(F.col("c") + 1.0).alias("b"), F.lit(1).alias("known"))
+        .unionByName(pairs.select("x", "y", "c", (F.col("s") + F.coalesce("bow", F.lit(0.0))).alias("s"), no, none))
+        .unionByName(triples.select("x", "y", "c", (F.log10("p") - F.log10("lower") - F.col("_x_bow")).alias("s"), no, none))
+    )
 
 
 def score(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
     """docs: doc_id and text; held_out: a condition on doc_id; learning uses the rows where it is false."""
-    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
+    sc = docs.sparkSession.sparkContext
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    texts = rows.where(~F.col("held_out")).select("text")
-    counts = materialize(count_words(texts))
-    total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    counts = materialize(count_ngrams(rows.where(~F.col("held_out")).select("text"), order))
+    total = counts.where("y = 0").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(total.n or 0), int(total.v)
-    least = max(1, math.ceil(KEEP_WORD * n))
-    frequent = [(bytes(r.word), int(r.c)) for r in counts.where(F.col("c") >= least).orderBy(F.desc("c"), "word").collect()]  # no more than 1 / KEEP_WORD rows
-    model = Automaton(frequent, n, v)
-    known: list[tuple[int, ...]] = []
-    for k in range(2, order + 1):
-        shared = sc.broadcast((model.ids, known))
-        kept = _grams(texts, shared, k, n)
-        model.extend(kept)
-        known = sorted(kept)
-        shared.unpersist()
-    model.build()
-    automaton = sc.broadcast(model)
-
-    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = automaton.value
-        part, at = TaskContext.get().partitionId() << 40, 0
-        base = [math.log10((int(c) + 1) / (m.n + m.v + 1)) for c in m.c1]
-        for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            for x in b.column(1):
-                words = [*words_of(x.as_py()), END]
-                ids = list(map(m.ids.get, words))
-                rare = Counter(w for w, i in zip(words, ids, strict=True) if i is None)
-                plain = [base[i] for i in ids if i is not None]
-                for col, value in zip(cols, (part + at, len(words), len(plain), math.fsum(plain), m.traverse(ids), list(rare), list(rare.values())), strict=True):
-                    col.append(value)
-                at += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "held_out", "_key", "n_tokens", "_known", "_base", "_score", "_words", "_times"])
-
+    unknown = math.log10(DISCOUNT * v / n) if n and v else 0.0
+    table_ = materialize(weights(counts, n, v)) if n else counts.select("x", "y", "c", *[F.lit(0.0).alias(c) for c in ("s", "b")], F.lit(0).alias("known"))
+    often = F.col("c") >= F.when(F.col("y") == 0, max(1.0, KEEP_WORD * n)).otherwise(max(1.0, KEEP * n))
+    hot = table_.where(often).select("x", "y", "s", "b", "known").toArrow()  # no more than 1 / KEEP_WORD + 2 / KEEP rows
+    x, y, s, b, known = (hot.column(i).to_numpy() for i in range(5))
+    k = _mix(x.astype(np.int64), y.astype(np.int64))
+    at = np.argsort(k)
+    shared = sc.broadcast(tuple(np.ascontiguousarray(z[at]) for z in (k, x, y, s, b, known)))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    walked = materialize(rows.select("doc_id", "text", "held_out").mapInArrow(traverse, f"doc_id {kind}, held_out boolean, _key bigint, n_tokens bigint, _known bigint, _base double, _score double, _words array<binary>, _times array<int>"))
-    rare = walked.select("_key", F.explode(F.arrays_zip(F.col("_words").alias("word"), F.col("_times").alias("m"))).alias("x")).select("_key", F.col("x.word").alias("word"), F.col("x.m").alias("m"))
-    c = F.coalesce(F.col("c"), F.lit(0))
-    mass = F.when(c > 0, F.log10((c - DISCOUNT) / n)).otherwise(model.unknown) if n else F.lit(0.0)
-    met = rare.join(counts.where(F.col("c") < least), "word", "left")
-    summed = met.groupBy("_key").agg(F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("_k"), F.sum(F.col("m") * F.log10((c + 1) / F.lit(float(n + v + 1)))).alias("_b"), F.sum(F.col("m") * mass).alias("_s"))
-    add = lambda a, b, zero: F.col(a) + F.coalesce(F.col(b), F.lit(zero))
-    return walked.drop("_words", "_times").join(summed, "_key", "left").select(
-        "doc_id", "held_out", "n_tokens", add("_known", "_k", 0).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), add("_base", "_b", 0.0).alias("base_score"), add("_score", "_s", 0.0).alias("score"))
+    doc = f"struct<doc_id: {kind}, held_out: boolean, n_tokens: bigint, s: double, b: double, known: bigint>"
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, (hk, hx, hy, *values) = _Names(), shared.value
+        first = TaskContext.get().partitionId() << 40
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.arange(first, first + b.num_rows)
+            first += b.num_rows
+            words, text = _hashed(b.column(1), names)
+            sums = [np.zeros(b.num_rows) for _ in values]
+            left = []
+            for x, y, t in _ngrams(words, text, order):
+                if len(hk):
+                    at = np.minimum(np.searchsorted(hk, k := _mix(x, y)), len(hk) - 1)
+                    hit = (hk[at] == k) & (hx[at] == x) & (hy[at] == y)
+                    for to, value in zip(sums, values, strict=True):
+                        to += np.bincount(t[hit], value[at[hit]], len(to))
+                    x, y, t = x[~hit], y[~hit], t[~hit]
+                left.append((keys[t], x, y))
+            size = np.bincount(text, minlength=b.num_rows)
+            d = pa.StructArray.from_arrays([b.column(0), b.column(2), pa.array(size), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], ["doc_id", "held_out", "n_tokens", "s", "b", "known"])
+            # a text's own row meets no n-gram: y is odd and x even
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys * 2), pa.array(keys * 0 + 1), d], ["key", "x", "y", "d"])
+            for q, x, y in left:
+                for i in range(0, len(q), 100_000):
+                    part = slice(i, i + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(q[part]), pa.array(x[part]), pa.array(y[part]), pa.nulls(len(q[part]), d.type)], ["key", "x", "y", "d"])
+
+    texts = rows.select("doc_id", "text", "held_out").mapInArrow(walk, f"key bigint, x bigint, y bigint, d {doc}")
+    met = texts.join(table_.where(~often).select("x", "y", "s", "b", "known"), ["x", "y"], "left").where("d is not null or s is not null")
+    total = lambda c: F.sum(F.coalesce(F.col(f"d.{c}"), F.col(c), F.lit(0)))
+    summed = met.groupBy("key").agg(F.max(F.col("d.doc_id")).alias("doc_id"), F.max(F.col("d.held_out")).alias("held_out"), F.max(F.col("d.n_tokens")).alias("n_tokens"), total("known").cast("long").alias("n_known"), total("b").alias("b"), total("s").alias("s"))
+    return summed.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("b") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"), (F.col("s") + (F.col("n_tokens") - F.col("n_known")) * F.lit(unknown)).alias("score"))
 
 
 def op4_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,6 +165,24 @@ def test_op4_states_sum_to_one():
         assert total + 10 ** (p + m.unknown) == pytest.approx(1.0)
 
 
+def test_op4_keeps_by_count_not_by_share(spark, docs, data, monkeypatch):
+    """Against the automaton in memory with every n-gram seen twice; the shares decide only what is broadcast."""
+    monkeypatch.setattr(lm, "KEEP", 0.003)
+    monkeypatch.setattr(lm, "KEEP_WORD", 0.003)
+    words = {i: [*lm.words_of(t or ""), lm.END] for i, t in docs}
+    train = [w for i, w in words.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    grams = [Counter(tuple(w[j : j + k]) for w in train for j in range(len(w) - k + 1)) for k in (1, 2, 3)]
+    n, v = sum(grams[0].values()), len(grams[0])
+    m = lm.Automaton([(g[0], c) for g, c in grams[0].items()], n, v)
+    for g in grams[1:]:
+        m.extend({tuple(m.ids[w] for w in x): c for x, c in g.items() if c >= 2})
+    m.build()
+    assert any(2 <= c < 0.003 * n for c in grams[2].values()) and any(c >= 0.003 * n for c in grams[2].values())
+    got = result(spark, "op4_backoff_automaton", data)
+    for i, w in words.items():
+        assert got[i].score == pytest.approx(m.traverse([m.ids.get(x) for x in w]) + m.unknown * sum(x not in m.ids for x in w), abs=1e-8)
+
+
 def test_op5_library(spark, docs, data):
     tok = tokens.tokenizer(tokens.vocabulary_path("byte_bpe_50k.json"))
     got = result(spark, "op5_token_counts", data)
