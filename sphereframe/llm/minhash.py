@@ -228,10 +228,19 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8) stays."""
-    own = fresh(docs, "_gone")
-    gone = near_duplicates(docs, 5).where("not kept").select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(own)), "left_anti")
+    """One row of each group of near-duplicates (five-word shingles, similarity of 0.8) stays: that of the least doc_id.
+
+    Rows go by a number that is stored with them, as a doc_id may be null or that of other texts as well.
+    """
+    own = fresh(docs, "_row")
+    rows = materialize(docs.withColumn(own, F.monotonically_increasing_id()))
+    groups = near_duplicates(rows.select(F.col(own).alias("doc_id"), "text"), 5).select("doc_id", "component_id")
+    ids = rows.select(F.col(own).alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"))
+    groups = materialize(groups.join(ids, "doc_id"))
+    several = groups.where("doc_id != component_id")
+    first = groups.join(several.select("component_id").distinct(), "component_id").groupBy("component_id").agg(F.min(F.struct("d", "doc_id"))["doc_id"].alias("stays"))
+    gone = groups.join(first, "component_id").where("doc_id != stays").select(F.col("doc_id").alias("_gone"))
+    return rows.join(gone, F.col(own) == F.col("_gone"), "left_anti").drop(own)
 
 
 #: The same rows in SQL, for tables with unique ids.  Sets within the threshold share one of their rarest shingles, a fifth of them and one.

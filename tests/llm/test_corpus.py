@@ -364,6 +364,17 @@ def test_op10_network_finds_keys_of_its_own(spark, data):
     assert secrets.redact("a secret b", [(2, 0, 8)]) == "a [secret] b"
 
 
+def test_stages_delete_rows_not_ids(spark, docs, data):
+    """Null and repeated ids: clean rows stay, and of copies among them one stays."""
+    base, clean, other, third = docs[0][1], docs[10][1], docs[19][1], docs[10][1][::-1]
+    leak = base + " " + docs[20][1]
+    rows = [(9, third), (1, third), (None, third), (None, clean), (None, other), (None, other), (7, docs[8][1]), (7, docs[8][1]), (7, docs[9][1]), (None, leak)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    once = Counter([(1, third), (None, clean), (None, other), (7, docs[8][1]), (7, docs[9][1]), (None, leak)])
+    assert Counter(map(tuple, minhash.stage(spark, df, data).collect())) == once
+    assert Counter(map(tuple, decontam.stage(spark, df, data).collect())) == Counter(rows) - Counter([(None, leak)])
+
+
 def test_pipeline(spark, docs, data, odd, empty):
     df = spark.read.parquet(f"{data}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
