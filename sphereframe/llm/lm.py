@@ -1,44 +1,47 @@
-"""Log-probabilities by a weighted backoff automaton, held in tables.
-
-Model: absolute discounting with backoff, up to ORDER words.  Word counts are exact and cover every training
-text; a longer n-gram is kept where it occurs LEAST times or more, a fixed count, so the model grows with the
-corpus.  States and arcs are rows: the n-grams, named by two 63-bit hashes, with their counts.
-
-A text's score is a sum over its n-grams.  A kept arc has log p(w | h); a failure arc costs the backoff weight of
-h and goes on at h[1:].  So with every n-gram goes what it adds to the path without it, log p(w | h) -
-bow(h) - log p(w | h[1:]), and, where it is a context, its backoff weight; n-grams that are not kept add
-nothing.  The texts' n-grams are joined with these weights and summed.  Those that take a share KEEP of the training
-tokens (words: KEEP_WORD) are broadcast, at most 1 / KEEP of an order; that decides speed only.
-
-Defined results: null text is empty and scores its end alone; repeated rows are learned and scored one by
-one; a null doc_id is not held out; without training text only the unknown class has mass; an empty table gives an
+"""Log-probabilities by a weighted backoff automaton whose parts travel to the texts that need them.
+
+Model: every n-gram of up to ORDER words of the training texts is a state, however rare, and an arc of the
+state of its first words.  Arcs are smoothed by a Dirichlet prior on the next lower order, p(w | h) =
+(c(hw) + m p(w | h')) / (c(h) + m); a state without an arc for w fails to h' at the weight m / (c(h) + m).  At the
+root a word has (c + 1) / (N + V + 1), and an unknown word what is left.  So each state's probabilities add up to one,
+and a weight needs no more than the exact counts of its own n-gram and state.
+
+Texts are read once, in blocks of about BLOCK tokens.  A block sends the sorted 63-bit hashes of its distinct n-grams,
+with their training counts, to ranges of hashes; a range adds up the counts of all blocks and answers each
+block in the block's own order.  Both ways the lists are sorted, differenced and split into byte planes, so an n-gram
+takes some six bytes instead of a row.  Ranges are pieces of a hash, so no word or context makes one of them hot.
+The texts travel beside their n-grams as numbers of words, meet the answers, and are traversed from left to right.
+No count, state or arc is ever dropped, capped or gathered on the driver.
+
+Defined results: a null or empty text scores its end alone; a very long text makes a block of its own size, as a text
+is read whole in any case; repeated rows are learned and scored one by one; ties do not arise; a null doc_id is not held
+out; without training text only the unknown class has mass, so each token costs nothing; an empty table gives an
 empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sphereframe.llm.common import crc_mod, materialize, table
+from sphereframe.llm.common import crc_mod, table
 
 ORDER = 3
-#: Least count of a kept n-gram of two words or more.
-LEAST = 2
-#: Least share of the training tokens of what is broadcast: of a word, and of a longer n-gram.
-KEEP_WORD, KEEP = 2e-6, 1e-5
-DISCOUNT = 0.6
+#: The prior's strength m, from order 2 on.
+PRIOR = (30.0, 10.0)
 #: The end of a text, as a token; no word can hold a line feed.
 END = b"\n"
-#: N-grams that a task counts before it hands them on; words whose hashes it remembers.
-FLUSH, WORDS = 2_000_000, 1_000_000
+#: Tokens of a block, and ranges for each shuffle partition, so that their sizes even out.
+BLOCK, RANGES = 4_000_000, 4
+_U = np.uint64
+#: Low bytes of differences that look random, and so are not worth compressing.
+_RAW = 5
 
 
 def words_of(text: str) -> list[bytes]:
@@ -46,254 +49,241 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
-class _Names(dict):
-    """Even 63-bit hashes of words."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True) & ~1
-        return h
-
-
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Odd 63-bit hashes of pairs."""
-    a, b = a.view(np.uint64), b.view(np.uint64)
-    h = a * np.uint64(0x9E3779B97F4A7C15) ^ ((b << np.uint64(31) | b >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F))
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return (h | np.uint64(1)).view(np.int64)
-
-
-def _ngrams(words: np.ndarray, text: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(x, y, text) of each order.  A word is (hash, 0), a pair has the words' even hashes, a triple the odd ones of its pairs."""
-    out = [(words, np.zeros(len(words), np.int64), text)]
-    if order > 1:
-        same = text[1:] == text[:-1]
-        x, y = words[:-1], words[1:]
-        out.append((x[same], y[same], text[1:][same]))
-        if order > 2:
-            k, both = _mix(x, y), same[1:] & same[:-1]
-            out.append((k[:-1][both], k[1:][both], text[2:][both]))
-    return out
 
+class _Numbers(dict):
+    """Words by the order in which they are first seen."""
 
-def _hashed(column, names: _Names) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts in turn, and the number of each word's text."""
-    words: list[int] = []
-    sizes = []
-    for x in column:
-        w = [*words_of(x.as_py()), END]
-        words += map(names.__getitem__, w)
-        sizes.append(len(w))
-    return np.array(words, np.int64), np.repeat(np.arange(len(sizes)), sizes)
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def ngram_keys(words: list[bytes], ids: np.ndarray, sizes: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each order, even hashes of the n-grams and the places of their last tokens."""
+    h = _mix(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))[ids]
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # within the text
+    key, keys, at = h, [h & ~_U(1)], [np.arange(len(ids))]
+    for k in range(2, order + 1):
+        key = _mix(key[:-1] * _U(0x9E3779B97F4A7C15) + h[k - 1 :] + _U(k))
+        full = place[k - 1 :] >= k - 1
+        keys.append(key[full] & ~_U(1))
+        at.append(np.flatnonzero(full) + k - 1)
+    return keys, at
+
+
+def _distinct(key: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and how often each is found where train is true."""
+    s = np.sort(key | train)
+    first = np.flatnonzero(np.r_[True, s[1:] >> _U(1) != s[:-1] >> _U(1)]) if len(s) else np.zeros(0, np.int64)
+    return s[first] & ~_U(1), np.add.reduceat(s & _U(1), first) if len(s) else s
+
+
+def ranks(key: np.ndarray) -> np.ndarray:
+    """For each key its number among the sorted distinct ones.  Sorts heads of keys joined with places, which is fast."""
+    if not len(key):
+        return np.zeros(0, np.int64)
+    bits = _U(max(1, int(len(key) - 1).bit_length()))
+    order = (np.sort((key >> bits << bits) | np.arange(len(key), dtype=np.uint64)) & ((_U(1) << bits) - _U(1))).astype(np.int64)
+    s = key[order]
+    if (wrong := s[1:] < s[:-1]).any():  # unlike keys with equal heads
+        on = np.flatnonzero(np.isin(s >> bits, s[1:][wrong] >> bits))
+        order[on] = order[on][np.argsort(s[on], kind="stable")]
+        s = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.r_[False, s[1:] != s[:-1]])
+    return out
 
 
-def count_ngrams(texts: DataFrame, order: int) -> DataFrame:
-    """(x, y, c) over a one-column frame: every word, the end of each text included, and the n-grams seen LEAST times."""
+def _planes(x: np.ndarray, raw: int) -> tuple[int, bytes, bytes]:
+    """How many bytes a number takes, the low raw ones plane by plane, and the rest."""
+    width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    p = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width])
+    return width, p[:raw].tobytes(), p[raw:].tobytes()
+
+
+def pack(lists: list[np.ndarray], raw: list[int]) -> bytes:
+    """Lists of numbers as bytes; of each number the low bytes up to raw are stored as they are, the rest compressed."""
+    made = [_planes(x, r) for x, r in zip(lists, raw, strict=True)]
+    head = np.array([len(lists), *[v for x, (w, _, _), r in zip(lists, made, raw, strict=True) for v in (len(x), w, r)]], "<i8")
+    rest = b"".join(m[2] for m in made)
+    return head.tobytes() + b"".join(m[1] for m in made) + (pa.compress(rest, codec="zstd", asbytes=True) if rest else b"")
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(blob, "<i8", 1)[0])
+    head = np.frombuffer(blob, "<i8", 3 * n, 8).reshape(n, 3).tolist()
+    at = 8 + 24 * n
+    left = sum(size * max(0, width - raw) for size, width, raw in head)
+    end = at + sum(size * min(width, raw) for size, width, raw in head)
+    rest, k, out = pa.decompress(blob[end:], left, codec="zstd", asbytes=True) if left else b"", 0, []
+    for size, width, raw in head:
+        x = np.zeros((8, size), np.uint8)
+        low = min(width, raw)
+        x[:low] = np.frombuffer(blob, np.uint8, low * size, at).reshape(low, size)
+        x[low:width] = np.frombuffer(rest, np.uint8, (width - low) * size, k).reshape(width - low, size)
+        at, k = at + low * size, k + (width - low) * size
+        out.append(np.ascontiguousarray(x.T).view("<u8")[:, 0])
+    return out
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, wait, held = _Names(), [], 0
 
-        def settle() -> Iterator[pa.RecordBatch]:
-            x, y = (np.concatenate([w[i] for w in wait]) for i in (0, 1))
-            _, at, c = np.unique(_mix(x, y), return_index=True, return_counts=True)
-            for i in range(0, len(at), 100_000):
-                on = at[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(x[on]), pa.array(y[on]), pa.array(c[i : i + 100_000])], ["x", "y", "c"])
+def _differences(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=_U(0))
+
+
+def smoothed(count: np.ndarray, state: np.ndarray, lower: np.ndarray, prior: float) -> np.ndarray:
+    """log10 of an arc's probability, or of the failure arc and what follows it (lower) where the state has no such arc."""
+    arc = np.log10((count + prior * 10.0**lower) / (state + prior))
+    return np.where(count > 0, arc, np.log10(prior / (state + prior)) + lower)
+
+
+def traverse(counts: list[np.ndarray], sizes: np.ndarray, n: int, v: int, prior: tuple[float, ...] = PRIOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the known tokens, the base score and the automaton's, over one pass of its tokens from left to right.
+
+    counts[k] has for each token the training count of the k + 1 words that it ends, 0 where the text has not so many.
+    The state before a token is that of the words before it, so its count is that of the token before; states that
+    training has not seen cost nothing to leave, as m / (0 + m) is one.
+    """
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    base = np.log10((counts[0] + 1.0) / (n + v + 1.0))
+    weight = base
+    for k, own in enumerate(counts[1:], start=1):
+        state = np.r_[np.zeros(min(1, len(own))), counts[k - 1][:-1]]
+        weight = np.where(place >= k, smoothed(own, state, weight, prior[k - 1]), weight)
+    total = lambda x: np.bincount(text, x, len(sizes))
+    return total(counts[0] > 0).astype(np.int64), total(base), total(weight)
+
+
+def _ranges(docs: DataFrame) -> int:
+    return RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _asks(n: int, order: int):
+    """Rows to ranges 0 to n - 1 (what of its n-grams a block asks for), and the block itself beyond them."""
+    bounds = np.array([(i << 64) // n for i in range(n)], np.uint64)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = block = TaskContext.get().partitionId() << 24
+        numbers, tokens, sizes, docs, train = _Numbers(), [], [], [], []
+
+        def done() -> pa.RecordBatch:
+            ids, size, seen = np.array(tokens, np.uint32), np.array(sizes), np.array(train, np.uint64)
+            words = list(numbers)
+            keys, at = ngram_keys(words, ids, size, order)
+            known = np.repeat(seen, size)
+            lists = [_distinct(k, known[a]) for k, a in zip(keys, at, strict=True)]
+            del keys, at
+            cuts = [np.r_[np.searchsorted(k, bounds), len(k)] for k, _ in lists]
+            blobs = []
+            for i in range(n):
+                part = [(k[c[i] : c[i + 1]], x[c[i] : c[i + 1]]) for (k, x), c in zip(lists, cuts, strict=True)]
+                blobs.append(pack([y for k, x in part for y in (_differences(k), x)], [_RAW, 0] * order))
+            common = np.argsort(-np.bincount(ids, minlength=len(words)), kind="stable")  # small numbers for frequent words
+            rank = np.empty(len(words), np.uint64)
+            rank[common] = np.arange(len(words), dtype=np.uint64)
+            text = b" ".join([words[i] for i in common])
+            body = pack([rank[ids], size.astype(np.uint64), np.array([len(text)], np.uint64)], [0, 0, 0])
+            own = pa.concat_arrays(docs)
+            rows = pa.ListArray.from_arrays(pa.array([0] * (n + 1) + [len(own)], pa.int32()), own, mask=pa.array([True] * n + [False]))
+            blobs.append(np.int64(len(body)).tobytes() + body + pa.compress(text, codec="zstd", asbytes=True))
+            to = np.r_[np.arange(n), n + block]
+            return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(np.full(n + 1, block), pa.int64()), pa.array(blobs, pa.binary()), rows], ["r", "block", "blob", "docs"])
 
         for b in batches:
-            if b.num_rows:
-                wait += _ngrams(*_hashed(b.column(0), names), order)
-                held += sum(len(w[0]) for w in wait[-order:])
-            if held >= FLUSH:
-                yield from settle()
-                wait, held = [], 0
-        if wait:
-            yield from settle()
-
-    return texts.mapInArrow(count, "x bigint, y bigint, c bigint").groupBy("x", "y").agg(F.sum("c").alias("c")).where((F.col("y") == 0) | (F.col("c") >= LEAST))
-
-
-class Automaton:
-    """Words, states and arcs.  State 0 is the root, state i the i-th kept n-gram that has continuations."""
-
-    def __init__(self, counts: list[tuple[bytes, int]], n: int, v: int):
-        self.ids = {w: i for i, (w, _) in enumerate(counts)}
-        self.words, self.n = len(counts), n
-        self.c1 = np.array([c for _, c in counts], np.int64)
-        self.v = v
-        self.prob = [math.log10(max(c - DISCOUNT, 1e-300) / n) for _, c in counts] if n else []
-        self.unknown = math.log10(DISCOUNT * v / n) if n and v else 0.0
-        self.grams: list[dict[tuple[int, ...], int]] = [{(i,): int(c) for i, c in enumerate(self.c1)}]
-        self.state, self.arcs, self.bow, self.fail = {(): 0}, {}, [0.0], [0]
-
-    def extend(self, kept: dict[tuple[int, ...], int]) -> None:
-        self.grams.append(kept)
-
-    def build(self) -> None:
-        """Arcs with discounted probabilities, and backoff weights that make each state's sum one."""
-        after: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for grams in self.grams[1:]:
-            for g, c in grams.items():
-                after.setdefault(g[:-1], []).append((g[-1], c))
-        made: dict[tuple[int, ...], dict[int, float]] = {}
-        contexts = sorted((h for h in after if all(h[i:] in after for i in range(1, len(h)))), key=lambda h: (len(h), h))
-        for h in contexts:
-            self.state[h] = len(self.bow)
-            self.bow.append(0.0)
-            self.fail.append(self.state[self._suffix(h[1:])])
-        for h in contexts:
-            total = max(self.grams[len(h) - 1].get(h, 0), sum(c for _, c in after[h]), 1)
-            own = {w: (c - DISCOUNT) / total for w, c in after[h]}
-            lower = sum(10 ** self._log(h[1:], w, made) for w in own)
-            self.bow[self.state[h]] = math.log10(max(1 - sum(own.values()), 1e-12) / max(1 - lower, 1e-12))
-            made[h] = {w: math.log10(p) for w, p in own.items()}
-        for h, arcs in made.items():
-            for w, p in arcs.items():
-                self.arcs[self.state[h] << 32 | w] = (self.state[self._suffix((*h, w)[-(ORDER - 1) :])], p)
-        self.root = [self.state[self._suffix((w,))] for w in range(self.words)]
-        del self.grams
-
-    def _suffix(self, h: tuple[int, ...]) -> tuple[int, ...]:
-        while h not in self.state:
-            h = h[1:]
-        return h
-
-    def _log(self, h: tuple[int, ...], w: int, made: dict) -> float:
-        weight = 0.0
-        while h:
-            if h in made:
-                if w in made[h]:
-                    return weight + made[h][w]
-                weight += self.bow[self.state[h]]
-            h = h[1:]
-        return weight + self.prob[w]
-
-    def traverse(self, ids: list[int | None]) -> float:
-        """The sum of arc and failure weights; a word without an arc costs its failures only."""
-        arcs, bow, fail, state, total = self.arcs.get, self.bow, self.fail, 0, 0.0
-        for w in ids:
-            if w is None:
-                while state:
-                    total += bow[state]
-                    state = fail[state]
-                continue
-            while state:
-                arc = arcs(state << 32 | w)
-                if arc is not None:
-                    state = arc[0]
-                    total += arc[1]
-                    break
-                total += bow[state]
-                state = fail[state]
-            else:
-                total += self.prob[w]
-                state = self.root[w]
-        return total
-
-
-def _look(df: DataFrame, on: str, known: DataFrame, key: str, values: list[str], least: float) -> DataFrame:
-    """df with the values of the row of known whose key is df's column; rows of a frequent key (c) are not moved."""
-    names = [f"_{on}_{v}" for v in values]
-    some = lambda c: known.where(c).select(F.col(key).alias("_at"), *[F.col(v).alias(n) for v, n in zip(values, names, strict=True)])
-    hot = some(F.col("c") >= least).withColumnRenamed("_at", "_hot")
-    met = df.join(F.broadcast(hot), F.col(on) == F.col("_hot"), "left").withColumn("_to", F.when(F.col("_hot").isNull(), F.col(on)).otherwise(F.xxhash64("x", "y")))
-    cold = some(F.col("c") < least).select("_at", *[F.col(n).alias(f"{n}_") for n in names])
-    met = met.join(cold, F.col("_to") == F.col("_at"), "left")
-    return met.select(*df.columns, *[F.when(F.col("_hot").isNull(), F.col(f"{n}_")).otherwise(F.col(n)).alias(n) for n in names])
-
-
-def _bow(own: str, lower: str):
-    """Backoff weight that makes a state's sum one."""
-    return F.log10(F.greatest(1 - F.col(own), F.lit(1e-12)) / F.greatest(1 - F.col(lower), F.lit(1e-12)))
-
-
-def _with_pairs(df: DataFrame) -> DataFrame:
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_mix(x, y))], ["x", "y", "c", "k"])
-
-    return df.select("x", "y", "c").mapInArrow(add, "x bigint, y bigint, c bigint, k bigint")
-
-
-def weights(counts: DataFrame, n: int, v: int) -> DataFrame:
-    """(x, y, c, s, b, known): what an n-gram adds to the score, and a word to the base score over an unknown one's."""
-    word, gram = max(1.0, KEEP_WORD * n), max(1.0, KEEP * n)
-    words, d = counts.where("y = 0").select("x", "c"), F.lit(DISCOUNT)
-    pairs = _look(_look(_with_pairs(counts.where("y != 0 and (y & 1) = 0")), "x", words, "x", ["c"], word), "y", words, "x", ["c"], word)
-    pairs = materialize(pairs.select("x", "y", "c", "k", ((F.col("c") - d) / F.col("_x_c")).alias("p"), ((F.col("_y_c") - d) / n).alias("lower")))
-    bows = pairs.groupBy("x").agg(F.sum("p").alias("own"), F.sum("lower").alias("low")).select("x", _bow("own", "low").alias("bow"))
-    words = materialize(words.join(bows, "x", "left").select("x", "c", F.coalesce("bow", F.lit(0.0)).alias("bow")))
-    triples = _look(_look(counts.where("(y & 1) = 1"), "x", pairs, "k", ["c"], gram), "y", pairs, "k", ["p"], gram)
-    triples = materialize(triples.select("x", "y", "c", ((F.col("c") - d) / F.col("_x_c")).alias("p"), F.col("_y_p").alias("lower")))
-    bows = triples.groupBy("x").agg(F.sum("p").alias("own"), F.sum("lower").alias("low")).select(F.col("x").alias("k"), _bow("own", "low").alias("bow"))
-    pairs = materialize(_look(pairs.join(bows, "k", "left"), "x", words, "x", ["bow"], word).select("x", "y", "c", "k", "bow", (F.log10("p") - F.log10("lower") - F.col("_x_bow")).alias("s")))
-    triples = _look(triples, "x", pairs, "k", ["bow"], gram)
-    no, none = F.lit(0.0).alias("b"), F.lit(0).alias("known")
-    return (
-        words.select("x", F.lit(0).cast("long").alias("y"), "c", (F.log10((F.col("c") - d) / n) + F.col("bow")).alias("s"), F.log10(F.col("c") + 1.0).alias("b"), F.lit(1).alias("known"))
-        .unionByName(pairs.select("x", "y", "c", (F.col("s") + F.coalesce("bow", F.lit(0.0))).alias("s"), no, none))
-        .unionByName(triples.select("x", "y", "c", (F.log10("p") - F.log10("lower") - F.col("_x_bow")).alias("s"), no, none))
-    )
-
-
-def score(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
+            kept = 0
+            for i, x in enumerate(b.column(1)):
+                w = words_of(x.as_py())
+                tokens += map(numbers.__getitem__, w)
+                tokens.append(numbers[END])
+                sizes.append(len(w) + 1)
+                train.append(not b.column(2)[i].as_py())
+                if len(tokens) >= BLOCK:
+                    docs.append(_docs(b, kept, i + 1))
+                    yield done()
+                    block, kept = block + 1, i + 1
+                    numbers, tokens, sizes, docs, train = _Numbers(), [], [], [], []
+            if b.num_rows > kept:
+                docs.append(_docs(b, kept, b.num_rows))
+        if sizes:
+            yield done()
+        assert block - first < 1 << 24
+
+    return ask
+
+
+def _docs(b: pa.RecordBatch, start: int, end: int) -> pa.Array:
+    return pa.StructArray.from_arrays([b.column(i).slice(start, end - start) for i in (0, 2)], ["doc_id", "held_out"])
+
+
+def _answer(key: tuple, rows: pa.Table) -> pa.Table:
+    """What a range knows of each block's n-grams; blocks pass as they are."""
+    if rows.num_rows == 1 and rows.column("docs")[0].is_valid:
+        return rows
+    lists = [unpack(x.as_py()) for x in rows.column("blob")]
+    answers: list[list[np.ndarray]] = [[] for _ in lists]
+    sums = np.zeros(2, np.uint64)
+    for k in range(0, len(lists[0]), 2):
+        own = [np.cumsum(x[k], dtype=np.uint64) for x in lists]
+        every = np.sort(np.concatenate(own))
+        every = every[np.r_[True, every[1:] != every[:-1]]] if len(every) else every
+        at = [np.searchsorted(every, x) for x in own]
+        total = np.zeros(len(every), np.uint64)
+        for a, x in zip(at, lists, strict=True):
+            total[a] += x[k + 1]  # a block has each key once
+        if not k:
+            sums[:] = total.sum(), (total > 0).sum()
+        for a, out in zip(at, answers, strict=True):
+            out.append(total[a])
+    blobs = [pack([*x, sums], [0] * (len(x) + 1)) for x in answers]
+    return rows.set_column(rows.schema.get_field_index("blob"), "blob", pa.array(blobs, pa.binary()))
+
+
+def _scores(order: int, prior: tuple[float, ...]):
+    def score(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("r")  # the ranges in the order of hashes, then the block itself
+        blobs = rows.column("blob")
+        lists = [unpack(x.as_py()) for x in blobs.slice(0, len(blobs) - 1)]
+        last = blobs[-1].as_py()
+        end = 8 + int(np.frombuffer(last, "<i8", 1)[0])
+        ids, sizes, (length,) = unpack(last[8:end])
+        words = pa.decompress(last[end:], int(length), codec="zstd", asbytes=True).split(b" ")
+        sizes = sizes.astype(np.int64)
+        n, v = (int(sum(x[order][i] for x in lists)) for i in (0, 1))
+        keys, at = ngram_keys(words, ids.astype(np.int64), sizes, order)
+        counts = []
+        for k in range(order):
+            own = np.zeros(len(ids))
+            own[at[k]] = np.concatenate([x[k] for x in lists])[ranks(keys[k])]
+            keys[k] = None
+            counts.append(own)
+        known, base, weight = traverse(counts, sizes, n, v, prior)
+        docs = rows.column("docs").combine_chunks().flatten()
+        cols = [docs.field("doc_id"), docs.field("held_out"), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), n)), pa.array(base), pa.array(weight)]
+        return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return score
+
+
+def score(docs: DataFrame, held_out, order: int = ORDER, prior: tuple[float, ...] = PRIOR) -> DataFrame:
     """docs: doc_id and text; held_out: a condition on doc_id; learning uses the rows where it is false."""
-    sc = docs.sparkSession.sparkContext
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    counts = materialize(count_ngrams(rows.where(~F.col("held_out")).select("text"), order))
-    total = counts.where("y = 0").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n, v = int(total.n or 0), int(total.v)
-    unknown = math.log10(DISCOUNT * v / n) if n and v else 0.0
-    table_ = materialize(weights(counts, n, v)) if n else counts.select("x", "y", "c", *[F.lit(0.0).alias(c) for c in ("s", "b")], F.lit(0).alias("known"))
-    often = F.col("c") >= F.when(F.col("y") == 0, max(1.0, KEEP_WORD * n)).otherwise(max(1.0, KEEP * n))
-    hot = table_.where(often).select("x", "y", "s", "b", "known").toArrow()  # no more than 1 / KEEP_WORD + 2 / KEEP rows
-    x, y, s, b, known = (hot.column(i).to_numpy() for i in range(5))
-    k = _mix(x.astype(np.int64), y.astype(np.int64))
-    at = np.argsort(k)
-    shared = sc.broadcast(tuple(np.ascontiguousarray(z[at]) for z in (k, x, y, s, b, known)))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    doc = f"struct<doc_id: {kind}, held_out: boolean, n_tokens: bigint, s: double, b: double, known: bigint>"
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, (hk, hx, hy, *values) = _Names(), shared.value
-        first = TaskContext.get().partitionId() << 40
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys = np.arange(first, first + b.num_rows)
-            first += b.num_rows
-            words, text = _hashed(b.column(1), names)
-            sums = [np.zeros(b.num_rows) for _ in values]
-            left = []
-            for x, y, t in _ngrams(words, text, order):
-                if len(hk):
-                    at = np.minimum(np.searchsorted(hk, k := _mix(x, y)), len(hk) - 1)
-                    hit = (hk[at] == k) & (hx[at] == x) & (hy[at] == y)
-                    for to, value in zip(sums, values, strict=True):
-                        to += np.bincount(t[hit], value[at[hit]], len(to))
-                    x, y, t = x[~hit], y[~hit], t[~hit]
-                left.append((keys[t], x, y))
-            size = np.bincount(text, minlength=b.num_rows)
-            d = pa.StructArray.from_arrays([b.column(0), b.column(2), pa.array(size), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], ["doc_id", "held_out", "n_tokens", "s", "b", "known"])
-            # a text's own row meets no n-gram: y is odd and x even
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys * 2), pa.array(keys * 0 + 1), d], ["key", "x", "y", "d"])
-            for q, x, y in left:
-                for i in range(0, len(q), 100_000):
-                    part = slice(i, i + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(q[part]), pa.array(x[part]), pa.array(y[part]), pa.nulls(len(q[part]), d.type)], ["key", "x", "y", "d"])
-
-    texts = rows.select("doc_id", "text", "held_out").mapInArrow(walk, f"key bigint, x bigint, y bigint, d {doc}")
-    met = texts.join(table_.where(~often).select("x", "y", "s", "b", "known"), ["x", "y"], "left").where("d is not null or s is not null")
-    total = lambda c: F.sum(F.coalesce(F.col(f"d.{c}"), F.col(c), F.lit(0)))
-    summed = met.groupBy("key").agg(F.max(F.col("d.doc_id")).alias("doc_id"), F.max(F.col("d.held_out")).alias("held_out"), F.max(F.col("d.n_tokens")).alias("n_tokens"), total("known").cast("long").alias("n_known"), total("b").alias("b"), total("s").alias("s"))
-    return summed.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("b") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"), (F.col("s") + (F.col("n_tokens") - F.col("n_known")) * F.lit(unknown)).alias("score"))
+    passed = f"r bigint, block bigint, blob binary, docs array<struct<doc_id: {kind}, held_out: boolean>>"
+    asked = rows.mapInArrow(_asks(_ranges(docs), order), passed)
+    answered = asked.groupBy("r").applyInArrow(_answer, passed)
+    return answered.groupBy("block").applyInArrow(_scores(order, prior), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op4_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every whole text of documents by n-grams of those with crc32(doc_id as text) mod 7 not 2.
+
+    Null and empty texts score their end alone; very long texts are read whole; repeated rows count each; an empty table
+    gives no rows.  Columns besides doc_id and text are not read, so their names cannot clash.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score(docs, crc_mod(F.col("doc_id"), 7) == 2)

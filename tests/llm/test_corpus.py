@@ -133,54 +133,55 @@ def test_op3_brute_force(spark, docs, data):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), len(off), hashlib.sha256(kept.encode()).hexdigest())
 
 
-def test_op4_base_and_sums(spark, docs, data):
-    def words(t):
-        return [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in WORD.findall(t or "")] + ["\n"]
+def _lower_words(t):
+    return [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in WORD.findall(t or "")] + ["\n"]
 
+
+class _Backoff:
+    """The model word by word, with dictionaries."""
+
+    def __init__(self, texts):
+        self.c = [Counter(tuple(w[j : j + k]) for w in texts for j in range(len(w) - k + 1)) for k in (1, 2, 3)]
+        self.n, self.v = sum(self.c[0].values()), len(self.c[0])
+
+    def p(self, h, w):
+        if not h:
+            return (self.c[0][w,] + 1) / (self.n + self.v + 1)
+        m, state = lm.PRIOR[len(h) - 1], self.c[len(h) - 1][h]
+        return (self.c[len(h)][(*h, w)] + m * self.p(h[1:], w)) / (state + m)
+
+
+def test_op4_brute_force(spark, docs, data):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs}
-    c = Counter(w for i, t in docs if not held[i] for w in words(t))
-    n, v = sum(c.values()), len(c)
-    for i, r in result(spark, "op4_backoff_automaton", data).items():
-        w = words(dict(docs)[i])
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum(x in c for x in w), n)
-        assert r.base_score == pytest.approx(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w))
-
-
-def test_op4_states_sum_to_one():
-    counts = [(b"a", 50), (b"b", 30), (b"c", 20)]
-    m = lm.Automaton(counts, 100, 3)
-    m.extend({(0, 1): 20, (1, 2): 9, (0, 0): 5})
-    m.extend({(0, 1, 2): 8, (0, 0, 1): 3})
-    m.build()
-    for state in range(len(m.bow)):
-        total = 0.0
-        for w in [0, 1, 2]:
-            p, s = 0.0, state
-            while s and (s << 32 | w) not in m.arcs:
-                p, s = p + m.bow[s], m.fail[s]
-            total += 10 ** (p + (m.arcs[s << 32 | w][1] if s else m.prob[w]))
-        p, s = 0.0, state
-        while s:
-            p, s = p + m.bow[s], m.fail[s]
-        assert total + 10 ** (p + m.unknown) == pytest.approx(1.0)
-
-
-def test_op4_keeps_by_count_not_by_share(spark, docs, data, monkeypatch):
-    """Against the automaton in memory with every n-gram seen twice; the shares decide only what is broadcast."""
-    monkeypatch.setattr(lm, "KEEP", 0.003)
-    monkeypatch.setattr(lm, "KEEP_WORD", 0.003)
-    words = {i: [*lm.words_of(t or ""), lm.END] for i, t in docs}
-    train = [w for i, w in words.items() if zlib.crc32(str(i).encode()) % 7 != 2]
-    grams = [Counter(tuple(w[j : j + k]) for w in train for j in range(len(w) - k + 1)) for k in (1, 2, 3)]
-    n, v = sum(grams[0].values()), len(grams[0])
-    m = lm.Automaton([(g[0], c) for g, c in grams[0].items()], n, v)
-    for g in grams[1:]:
-        m.extend({tuple(m.ids[w] for w in x): c for x, c in g.items() if c >= 2})
-    m.build()
-    assert any(2 <= c < 0.003 * n for c in grams[2].values()) and any(c >= 0.003 * n for c in grams[2].values())
+    m = _Backoff([_lower_words(t) for i, t in docs if not held[i]])
     got = result(spark, "op4_backoff_automaton", data)
-    for i, w in words.items():
-        assert got[i].score == pytest.approx(m.traverse([m.ids.get(x) for x in w]) + m.unknown * sum(x not in m.ids for x in w), abs=1e-8)
+    for i, t in docs:
+        w, r = _lower_words(t), got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum((x,) in m.c[0] for x in w), m.n)
+        assert r.base_score == pytest.approx(sum(np.log10(m.p((), x)) for x in w))
+        assert r.score == pytest.approx(sum(np.log10(m.p(tuple(w[max(0, j - 2) : j]), x)) for j, x in enumerate(w)))
+
+
+def test_op4_states_sum_to_one(docs):
+    m = _Backoff([_lower_words(t) for _, t in docs])
+    for h in [(), *list(m.c[0])[:8], *list(m.c[1])[:40], ("no", "such")]:
+        if "\n" not in h:
+            assert sum(m.p(h, w) for (w,) in m.c[0]) + m.p(h, "never seen") == pytest.approx(1)
+
+
+def test_op4_blocks_and_partitions_change_nothing(spark, docs, data, monkeypatch):
+    want = sorted(map(tuple, QUERIES["op4_backoff_automaton"](spark, data).collect()))
+    monkeypatch.setattr(lm, "BLOCK", 500)
+    df = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").orderBy(F.desc("doc_id")).coalesce(2)
+    assert sorted(map(tuple, lm.score(df, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2).collect())) == want
+
+
+def test_op4_packed_lists_and_ranks():
+    rng = np.random.default_rng(2)
+    lists = [rng.integers(0, 1 << b, n, dtype=np.uint64) for b, n in ((63, 100), (5, 300), (20, 0), (40, 1))]
+    assert all((x == y).all() for x, y in zip(lm.unpack(lm.pack(lists, [5, 0, 5, 2])), lists, strict=True))
+    for key in (*lists, (np.uint64(7) << np.uint64(50)) + rng.integers(0, 50, 4000, dtype=np.uint64)):  # heads alike
+        assert (lm.ranks(key) == np.unique(key, return_inverse=True)[1]).all()
 
 
 def test_op5_library(spark, docs, data):
