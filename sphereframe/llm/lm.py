@@ -21,6 +21,7 @@ empty result.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,8 @@ PRIOR = (30.0, 10.0)
 #: The end of a text, as a token; no word can hold a line feed.
 END = b"\n"
 #: Tokens of a block, and ranges for each shuffle partition, so that their sizes even out.
-BLOCK, RANGES = 4_000_000, 4
-_U = np.uint64
+BLOCK, RANGES = 5_000_000, 4
+_U, _ZSTD = np.uint64, pa.Codec("zstd", compression_level=3)
 #: Low bytes of differences that look random, and so are not worth compressing.
 _RAW = 5
 
@@ -63,17 +64,21 @@ class _Numbers(dict):
         return n
 
 
-def ngram_keys(words: list[bytes], ids: np.ndarray, sizes: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each order, even hashes of the n-grams and the places of their last tokens."""
+def _places(sizes: np.ndarray) -> np.ndarray:
+    """Each token's place within its text."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def ngram_keys(words: list[bytes], ids: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order, even hashes of the n-grams, and for each token whether one ends there."""
     h = _mix(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))[ids]
-    place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # within the text
-    key, keys, at = h, [h & ~_U(1)], [np.arange(len(ids))]
+    place = np.minimum(_places(sizes), order).astype(np.uint8)
+    key = h
+    yield h & ~_U(1), place >= 0
     for k in range(2, order + 1):
         key = _mix(key[:-1] * _U(0x9E3779B97F4A7C15) + h[k - 1 :] + _U(k))
-        full = place[k - 1 :] >= k - 1
-        keys.append(key[full] & ~_U(1))
-        at.append(np.flatnonzero(full) + k - 1)
-    return keys, at
+        ends = place >= k - 1
+        yield key[ends[k - 1 :]] & ~_U(1), ends
 
 
 def _distinct(key: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +116,7 @@ def pack(lists: list[np.ndarray], raw: list[int]) -> bytes:
     made = [_planes(x, r) for x, r in zip(lists, raw, strict=True)]
     head = np.array([len(lists), *[v for x, (w, _, _), r in zip(lists, made, raw, strict=True) for v in (len(x), w, r)]], "<i8")
     rest = b"".join(m[2] for m in made)
-    return head.tobytes() + b"".join(m[1] for m in made) + (pa.compress(rest, codec="zstd", asbytes=True) if rest else b"")
+    return head.tobytes() + b"".join(m[1] for m in made) + (_ZSTD.compress(rest, asbytes=True) if rest else b"")
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -120,7 +125,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     at = 8 + 24 * n
     left = sum(size * max(0, width - raw) for size, width, raw in head)
     end = at + sum(size * min(width, raw) for size, width, raw in head)
-    rest, k, out = pa.decompress(blob[end:], left, codec="zstd", asbytes=True) if left else b"", 0, []
+    rest, k, out = _ZSTD.decompress(blob[end:], left, asbytes=True) if left else b"", 0, []
     for size, width, raw in head:
         x = np.zeros((8, size), np.uint8)
         low = min(width, raw)
@@ -132,7 +137,8 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 
 def _differences(x: np.ndarray) -> np.ndarray:
-    return np.diff(x, prepend=_U(0))
+    """Of even numbers, halved."""
+    return np.diff(x, prepend=_U(0)) >> _U(1)
 
 
 def smoothed(count: np.ndarray, state: np.ndarray, lower: np.ndarray, prior: float) -> np.ndarray:
@@ -149,7 +155,7 @@ def traverse(counts: list[np.ndarray], sizes: np.ndarray, n: int, v: int, prior:
     training has not seen cost nothing to leave, as m / (0 + m) is one.
     """
     text = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = _places(sizes)
     base = np.log10((counts[0] + 1.0) / (n + v + 1.0))
     weight = base
     for k, own in enumerate(counts[1:], start=1):
@@ -169,15 +175,13 @@ def _asks(n: int, order: int):
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = block = TaskContext.get().partitionId() << 24
-        numbers, tokens, sizes, docs, train = _Numbers(), [], [], [], []
+        numbers, tokens, sizes, docs, train = _Numbers(), array("I"), [], [], []
 
         def done() -> pa.RecordBatch:
             ids, size, seen = np.array(tokens, np.uint32), np.array(sizes), np.array(train, np.uint64)
             words = list(numbers)
-            keys, at = ngram_keys(words, ids, size, order)
             known = np.repeat(seen, size)
-            lists = [_distinct(k, known[a]) for k, a in zip(keys, at, strict=True)]
-            del keys, at
+            lists = [_distinct(key, known[ends]) for key, ends in ngram_keys(words, ids, size, order)]
             cuts = [np.r_[np.searchsorted(k, bounds), len(k)] for k, _ in lists]
             blobs = []
             for i in range(n):
@@ -190,7 +194,7 @@ def _asks(n: int, order: int):
             body = pack([rank[ids], size.astype(np.uint64), np.array([len(text)], np.uint64)], [0, 0, 0])
             own = pa.concat_arrays(docs)
             rows = pa.ListArray.from_arrays(pa.array([0] * (n + 1) + [len(own)], pa.int32()), own, mask=pa.array([True] * n + [False]))
-            blobs.append(np.int64(len(body)).tobytes() + body + pa.compress(text, codec="zstd", asbytes=True))
+            blobs.append(np.int64(len(body)).tobytes() + body + _ZSTD.compress(text, asbytes=True))
             to = np.r_[np.arange(n), n + block]
             return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(np.full(n + 1, block), pa.int64()), pa.array(blobs, pa.binary()), rows], ["r", "block", "blob", "docs"])
 
@@ -198,7 +202,7 @@ def _asks(n: int, order: int):
             kept = 0
             for i, x in enumerate(b.column(1)):
                 w = words_of(x.as_py())
-                tokens += map(numbers.__getitem__, w)
+                tokens.extend(map(numbers.__getitem__, w))
                 tokens.append(numbers[END])
                 sizes.append(len(w) + 1)
                 train.append(not b.column(2)[i].as_py())
@@ -206,7 +210,7 @@ def _asks(n: int, order: int):
                     docs.append(_docs(b, kept, i + 1))
                     yield done()
                     block, kept = block + 1, i + 1
-                    numbers, tokens, sizes, docs, train = _Numbers(), [], [], [], []
+                    numbers, tokens, sizes, docs, train = _Numbers(), array("I"), [], [], []
             if b.num_rows > kept:
                 docs.append(_docs(b, kept, b.num_rows))
         if sizes:
@@ -228,7 +232,7 @@ def _answer(key: tuple, rows: pa.Table) -> pa.Table:
     answers: list[list[np.ndarray]] = [[] for _ in lists]
     sums = np.zeros(2, np.uint64)
     for k in range(0, len(lists[0]), 2):
-        own = [np.cumsum(x[k], dtype=np.uint64) for x in lists]
+        own = [np.cumsum(x[k] << _U(1), dtype=np.uint64) for x in lists]
         every = np.sort(np.concatenate(own))
         every = every[np.r_[True, every[1:] != every[:-1]]] if len(every) else every
         at = [np.searchsorted(every, x) for x in own]
@@ -251,16 +255,13 @@ def _scores(order: int, prior: tuple[float, ...]):
         last = blobs[-1].as_py()
         end = 8 + int(np.frombuffer(last, "<i8", 1)[0])
         ids, sizes, (length,) = unpack(last[8:end])
-        words = pa.decompress(last[end:], int(length), codec="zstd", asbytes=True).split(b" ")
+        words = _ZSTD.decompress(last[end:], int(length), asbytes=True).split(b" ")
         sizes = sizes.astype(np.int64)
         n, v = (int(sum(x[order][i] for x in lists)) for i in (0, 1))
-        keys, at = ngram_keys(words, ids.astype(np.int64), sizes, order)
         counts = []
-        for k in range(order):
-            own = np.zeros(len(ids))
-            own[at[k]] = np.concatenate([x[k] for x in lists])[ranks(keys[k])]
-            keys[k] = None
-            counts.append(own)
+        for k, (key, ends) in enumerate(ngram_keys(words, ids.astype(np.uint32), sizes, order)):
+            counts.append(np.zeros(len(ids)))
+            counts[k][ends] = np.concatenate([x[k] for x in lists])[ranks(key)]
         known, base, weight = traverse(counts, sizes, n, v, prior)
         docs = rows.column("docs").combine_chunks().flatten()
         cols = [docs.field("doc_id"), docs.field("held_out"), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), n)), pa.array(base), pa.array(weight)]
