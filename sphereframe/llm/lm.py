@@ -40,7 +40,7 @@ PRIOR = (30.0, 10.0)
 END = b"\n"
 #: Tokens of a block, and ranges for each shuffle partition, so that their sizes even out.
 BLOCK, RANGES = 5_000_000, 4
-_U, _ZSTD = np.uint64, pa.Codec("zstd", compression_level=3)
+_U = np.uint64
 #: Low bytes of differences that look random, and so are not worth compressing.
 _RAW = 5
 
@@ -111,12 +111,20 @@ def _planes(x: np.ndarray, raw: int) -> tuple[int, bytes, bytes]:
     return width, p[:raw].tobytes(), p[raw:].tobytes()
 
 
+def _squeezed(raw: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True) if raw else b""
+
+
+def _restored(raw: bytes, size: int) -> bytes:
+    return pa.decompress(raw, size, codec="zstd", asbytes=True) if size else b""
+
+
 def pack(lists: list[np.ndarray], raw: list[int]) -> bytes:
     """Lists of numbers as bytes; of each number the low bytes up to raw are stored as they are, the rest compressed."""
     made = [_planes(x, r) for x, r in zip(lists, raw, strict=True)]
     head = np.array([len(lists), *[v for x, (w, _, _), r in zip(lists, made, raw, strict=True) for v in (len(x), w, r)]], "<i8")
     rest = b"".join(m[2] for m in made)
-    return head.tobytes() + b"".join(m[1] for m in made) + (_ZSTD.compress(rest, asbytes=True) if rest else b"")
+    return head.tobytes() + b"".join(m[1] for m in made) + _squeezed(rest)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -125,7 +133,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     at = 8 + 24 * n
     left = sum(size * max(0, width - raw) for size, width, raw in head)
     end = at + sum(size * min(width, raw) for size, width, raw in head)
-    rest, k, out = _ZSTD.decompress(blob[end:], left, asbytes=True) if left else b"", 0, []
+    rest, k, out = _restored(blob[end:], left), 0, []
     for size, width, raw in head:
         x = np.zeros((8, size), np.uint8)
         low = min(width, raw)
@@ -194,7 +202,7 @@ def _asks(n: int, order: int):
             body = pack([rank[ids], size.astype(np.uint64), np.array([len(text)], np.uint64)], [0, 0, 0])
             own = pa.concat_arrays(docs)
             rows = pa.ListArray.from_arrays(pa.array([0] * (n + 1) + [len(own)], pa.int32()), own, mask=pa.array([True] * n + [False]))
-            blobs.append(np.int64(len(body)).tobytes() + body + _ZSTD.compress(text, asbytes=True))
+            blobs.append(np.int64(len(body)).tobytes() + body + _squeezed(text))
             to = np.r_[np.arange(n), n + block]
             return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(np.full(n + 1, block), pa.int64()), pa.array(blobs, pa.binary()), rows], ["r", "block", "blob", "docs"])
 
@@ -255,7 +263,7 @@ def _scores(order: int, prior: tuple[float, ...]):
         last = blobs[-1].as_py()
         end = 8 + int(np.frombuffer(last, "<i8", 1)[0])
         ids, sizes, (length,) = unpack(last[8:end])
-        words = _ZSTD.decompress(last[end:], int(length), asbytes=True).split(b" ")
+        words = _restored(last[end:], int(length)).split(b" ")
         sizes = sizes.astype(np.int64)
         n, v = (int(sum(x[order][i] for x in lists)) for i in (0, 1))
         counts = []
