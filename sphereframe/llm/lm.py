@@ -22,7 +22,7 @@ empty result.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ PRIOR = (30.0, 10.0)
 #: The end of a text, as a token; no word can hold a line feed.
 END = b"\n"
 #: Tokens of a block, and ranges for each shuffle partition, so that their sizes even out.
-BLOCK, RANGES = 5_000_000, 4
+BLOCK, RANGES = 3_000_000, 4
 _U = np.uint64
 #: Low bytes of differences that look random, and so are not worth compressing.
 _RAW = 5
@@ -82,25 +82,34 @@ def ngram_keys(words: list[bytes], ids: np.ndarray, sizes: np.ndarray, order: in
 
 
 def _distinct(key: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys, and how often each is found where train is true."""
-    s = np.sort(key | train)
-    first = np.flatnonzero(np.r_[True, s[1:] >> _U(1) != s[:-1] >> _U(1)]) if len(s) else np.zeros(0, np.int64)
-    return s[first] & ~_U(1), np.add.reduceat(s & _U(1), first) if len(s) else s
+    """Sorted distinct keys, and how often each is found where train is true; key is used up."""
+    key |= train
+    key.sort()
+    first = np.flatnonzero(np.r_[True, (key[1:] ^ key[:-1]) > _U(1)]) if len(key) else np.zeros(0, np.int64)
+    distinct = key[first] & ~_U(1)
+    key &= _U(1)
+    return distinct, np.add.reduceat(key, first).astype(np.uint32) if len(key) else np.zeros(0, np.uint32)
 
 
 def ranks(key: np.ndarray) -> np.ndarray:
     """For each key its number among the sorted distinct ones.  Sorts heads of keys joined with places, which is fast."""
     if not len(key):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint32)
     bits = _U(max(1, int(len(key) - 1).bit_length()))
-    order = (np.sort((key >> bits << bits) | np.arange(len(key), dtype=np.uint64)) & ((_U(1) << bits) - _U(1))).astype(np.int64)
+    order = key >> bits << bits
+    order |= np.arange(len(key), dtype=np.uint64)
+    order.sort()
+    order &= (_U(1) << bits) - _U(1)
+    order = order.view(np.int64)
     s = key[order]
     if (wrong := s[1:] < s[:-1]).any():  # unlike keys with equal heads
         on = np.flatnonzero(np.isin(s >> bits, s[1:][wrong] >> bits))
         order[on] = order[on][np.argsort(s[on], kind="stable")]
         s = key[order]
-    out = np.empty(len(key), np.int64)
-    out[order] = np.cumsum(np.r_[False, s[1:] != s[:-1]])
+    new = np.r_[False, s[1:] != s[:-1]]
+    del s
+    out = np.empty(len(key), np.uint32)
+    out[order] = np.cumsum(new, dtype=np.uint32)
     return out
 
 
@@ -151,26 +160,30 @@ def _differences(x: np.ndarray) -> np.ndarray:
 
 def smoothed(count: np.ndarray, state: np.ndarray, lower: np.ndarray, prior: float) -> np.ndarray:
     """log10 of an arc's probability, or of the failure arc and what follows it (lower) where the state has no such arc."""
-    arc = np.log10((count + prior * 10.0**lower) / (state + prior))
-    return np.where(count > 0, arc, np.log10(prior / (state + prior)) + lower)
+    out = np.where(count > 0, np.log10(count + prior * 10.0**lower), np.log10(prior) + lower)
+    out -= np.log10(state + prior)
+    return out
 
 
-def traverse(counts: list[np.ndarray], sizes: np.ndarray, n: int, v: int, prior: tuple[float, ...] = PRIOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text the known tokens, the base score and the automaton's, over one pass of its tokens from left to right.
+def traverse(counts: Iterable[np.ndarray], sizes: np.ndarray, n: int, v: int, prior: tuple[float, ...] = PRIOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the known tokens, the base score and the automaton's, over its tokens from left to right.
 
-    counts[k] has for each token the training count of the k + 1 words that it ends, 0 where the text has not so many.
+    For each order, counts has each token's training count of the words that it ends, 0 where the text has not so many.
     The state before a token is that of the words before it, so its count is that of the token before; states that
     training has not seen cost nothing to leave, as m / (0 + m) is one.
     """
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    place = _places(sizes)
-    base = np.log10((counts[0] + 1.0) / (n + v + 1.0))
-    weight = base
-    for k, own in enumerate(counts[1:], start=1):
-        state = np.r_[np.zeros(min(1, len(own))), counts[k - 1][:-1]]
-        weight = np.where(place >= k, smoothed(own, state, weight, prior[k - 1]), weight)
-    total = lambda x: np.bincount(text, x, len(sizes))
-    return total(counts[0] > 0).astype(np.int64), total(base), total(weight)
+    place = np.minimum(_places(sizes), 255).astype(np.uint8)
+    text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    for k, own in enumerate(counts):
+        if not k:
+            weight = np.log10((own + 1.0) / (n + v + 1.0))
+            known, base = (np.bincount(text, x, len(sizes)) for x in (own > 0, weight))
+        else:
+            for i in range(0, len(own), 1 << 18):  # in parts, for the sake of memory
+                on = np.flatnonzero(place[i : i + (1 << 18)] >= k) + i
+                weight[on] = smoothed(own[on], last[on - 1], weight[on], prior[k - 1])
+        last = own
+    return known.astype(np.int64), base, np.bincount(text, weight, len(sizes))
 
 
 def _ranges(docs: DataFrame) -> int:
@@ -186,7 +199,7 @@ def _asks(n: int, order: int):
         numbers, tokens, sizes, docs, train = _Numbers(), array("I"), [], [], []
 
         def done() -> pa.RecordBatch:
-            ids, size, seen = np.array(tokens, np.uint32), np.array(sizes), np.array(train, np.uint64)
+            ids, size, seen = np.frombuffer(tokens, np.uint32), np.array(sizes), np.array(train, bool)
             words = list(numbers)
             known = np.repeat(seen, size)
             lists = [_distinct(key, known[ends]) for key, ends in ngram_keys(words, ids, size, order)]
@@ -264,13 +277,16 @@ def _scores(order: int, prior: tuple[float, ...]):
         end = 8 + int(np.frombuffer(last, "<i8", 1)[0])
         ids, sizes, (length,) = unpack(last[8:end])
         words = _restored(last[end:], int(length)).split(b" ")
-        sizes = sizes.astype(np.int64)
+        ids, sizes = ids.astype(np.uint32), sizes.astype(np.int64)
         n, v = (int(sum(x[order][i] for x in lists)) for i in (0, 1))
-        counts = []
-        for k, (key, ends) in enumerate(ngram_keys(words, ids.astype(np.uint32), sizes, order)):
-            counts.append(np.zeros(len(ids)))
-            counts[k][ends] = np.concatenate([x[k] for x in lists])[ranks(key)]
-        known, base, weight = traverse(counts, sizes, n, v, prior)
+
+        def counts() -> Iterator[np.ndarray]:
+            for k, (key, ends) in enumerate(ngram_keys(words, ids, sizes, order)):
+                own = np.zeros(len(ids))
+                own[ends] = np.concatenate([x[k] for x in lists])[ranks(key)]
+                yield own
+
+        known, base, weight = traverse(counts(), sizes, n, v, prior)
         docs = rows.column("docs").combine_chunks().flatten()
         cols = [docs.field("doc_id"), docs.field("held_out"), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), n)), pa.array(base), pa.array(weight)]
         return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
