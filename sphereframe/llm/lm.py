@@ -121,7 +121,7 @@ def _planes(x: np.ndarray, raw: int) -> tuple[int, bytes, bytes]:
 
 
 def _squeezed(raw: bytes) -> bytes:
-    return pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True) if raw else b""
+    return pa.Codec("zstd", compression_level=9).compress(raw, asbytes=True) if raw else b""
 
 
 def _restored(raw: bytes, size: int) -> bytes:
@@ -208,7 +208,8 @@ def _asks(n: int, order: int):
             for i in range(n):
                 part = [(k[c[i] : c[i + 1]], x[c[i] : c[i + 1]]) for (k, x), c in zip(lists, cuts, strict=True)]
                 blobs.append(pack([y for k, x in part for y in (_differences(k), x)], [_RAW, 0] * order))
-            common = np.argsort(-np.bincount(ids, minlength=len(words)), kind="stable")  # small numbers for frequent words
+            often = np.bincount(ids, minlength=len(words)).tolist()
+            common = sorted(range(len(words)), key=lambda i: (-often[i], words[i]))  # small numbers for frequent words, like ones together
             rank = np.empty(len(words), np.uint64)
             rank[common] = np.arange(len(words), dtype=np.uint64)
             text = b" ".join([words[i] for i in common])
