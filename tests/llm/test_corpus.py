@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small documents with every awkward case."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -106,6 +107,53 @@ def test_op1_large_benchmarks_take_a_shuffled_join(spark, data, monkeypatch):
     assert sorted(map(tuple, QUERIES["op1_decontamination"](spark, data).collect())) == want
 
 
+def _agreeing(t, it):
+    """By the rule, over every alignment."""
+    n, best = min(len(it), decontam.SPAN), 0
+    for s in range(-len(it), len(t)):
+        for o in range(max(0, -s), min(len(it), len(t) - s) - n + 1):
+            best = max(best, sum(t[s + o + k] == it[o + k] for k in range(n)))
+    return best if len(it) >= decontam.LEAST and 100 * best >= decontam.PERCENT * n else 0
+
+
+def test_op1_masks_lose_no_allowed_substitution():
+    for n in range(decontam.LEAST, decontam.SPAN + 1):
+        masks = decontam.LONG if n >= decontam.LONG_ITEM else decontam.SHORT
+        assert all(m[-1] >= len(m) for m in masks)  # each ignores a place
+        for bad in itertools.combinations(range(n), n - -(-decontam.PERCENT * n // 100)):
+            assert any(not {x + o for x in m} & set(bad) for m in masks for o in range(n - m[-1])), (n, bad)
+
+
+@pytest.mark.parametrize("broadcast", [decontam.BROADCAST, 0])
+def test_op1_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontam, "BROADCAST", broadcast)
+    rng = random.Random(3)
+    w = [f"w{i}" for i in range(300)]
+    items = [(i, [rng.choice(w) for _ in range(rng.choice((1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 20, 40)))]) for i in range(60)]
+    items += [(70, [*"ab", *w[:13]]), (71, [*"cd", *w[:13]]), (72, ["e", *w[:13]]), (73, items[8][1])]
+    docs = [(1, w[:13]), (2, []), (3, w[:12])]
+    for i in range(120):
+        _, it = rng.choice(items)
+        part = it[rng.randint(0, max(0, len(it) - 13)) :][: rng.choice((13, 40))]
+        part = [("changed" if rng.random() < 0.12 else x) for x in part]
+        docs.append((10 + i, [rng.choice(w) for _ in range(rng.randint(0, 30))] + part + [rng.choice(w) for _ in range(rng.randint(0, 30))]))
+    docs.append((10, docs[20][1]))
+    want = Counter()
+    for d, t in docs:
+        for i, it in items:
+            if n := _agreeing(t, it):
+                want[d, i] = max(want[d, i], n)
+    df = spark.createDataFrame([(d, ", ".join(t).upper()) for d, t in docs] + [(None, None), (4, "")], "doc_id bigint, text string")
+    got = decontam.overlaps(df, spark.createDataFrame([(i, " ".join(t)) for i, t in items] + [(99, None)], "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id): r.n_equal for r in got.collect()} == dict(want) and {(1, 70), (1, 71), (1, 72)} <= set(want)
+
+
+def test_op1_scripts_without_spaces(spark):
+    item = "日本語の文章には空白がありません"
+    df = spark.createDataFrame([(1, "前" + item.replace("文", "本") + "後"), (2, item[::-1])], "doc_id bigint, text string")
+    assert [r.doc_id for r in decontam.overlaps(df, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()] == [1]
+
+
 def test_op2_learns_and_repeats(spark, docs, data):
     got = result(spark, "op2_quality_classifier", data)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
