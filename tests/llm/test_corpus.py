@@ -388,10 +388,62 @@ def test_op9_counts(spark, docs, data):
         assert r.base_failed == (len(w) < 10 or 100 * repeat > 20 * len(w)) and not (r.base_failed and r.kept)
 
 
+def _crowd(odd):
+    """Two groups whose usual texts differ, and odd texts in one of them."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
+    plain = lambda: "\n".join(" ".join([word().capitalize(), *[word() for _ in range(14)]]) for _ in range(14))
+    rows = [(i, plain() if i % 2 else plain().upper().replace(" ", " # "), "en", f"s{i % 2}") for i in range(240)]
+    return rows + [(1000 + k, f(plain), "en", "s1") for k, f in enumerate(odd)]
+
+
+ODD = {
+    "symbol_ratio": lambda plain: " ".join(w + ("#" if i % 5 == 0 else "") for i, w in enumerate(plain().split())),
+    "caps_ratio": lambda plain: " ".join(w.upper() if i % 3 == 0 else w for i, w in enumerate(plain().split())),
+    "dup_line_ratio": lambda plain: plain() + "\nabc" * 12,
+    "repeat_ratio": lambda plain: (x := " ".join(plain().split()[:300]), x + " " + " ".join(f"{w} y" for w in plain().split()) + " " + " ".join(x.split()[:65]))[1],
+    "mean_word": lambda plain: " ".join(w * 2 for w in plain().split()),
+    "short words": lambda plain: " ".join(w[:2] for w in plain().split()),
+}
+
+
+def _ratios(t):
+    """The five counts, what they are shares of, and how many come at once."""
+    t = t or ""
+    w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+    windows = [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
+    twice = {k for k, n in Counter(windows).items() if n > 1}
+    repeat, chars = len({j + x for j, k in enumerate(windows) if k in twice for x in range(5)}), sum(map(len, w))
+    return [(sum(c in "#*$%&|<>" for c in t), len(w), 1), (sum(c.isupper() for c in t), chars, 4), (len(lines) - len(set(lines)), len(lines), 1), (repeat, len(w), 10), (chars, len(w), 2)]
+
+
+def test_op9_fences_are_the_groups_own(spark):
+    """Against exact quantiles; each ratio rejects what the base rules let pass, and what is odd in one group is usual in the other."""
+    rows = _crowd(ODD.values())
+    df, names = rules.metrics(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(5))
+    got = {r.doc_id: r for r in rules.judge(df, names, rules.fit_thresholds(df, names), "kept").select("*", rules.base_failed(names).alias("base")).collect()}
+    ratios = {i: _ratios(t) for i, t, _, _ in rows}
+    groups = {i: g for i, _, _, g in rows}
+    fences = {}
+    for g in set(groups.values()):
+        own = [ratios[i] for i in groups if groups[i] == g and not got[i].base]
+        assert len(own) < rules.SKETCH  # so the sketches are exact
+        for k in range(5):
+            a, b = np.quantile([x[k][0] / max(1, x[k][1]) for x in own], [0.25, 0.75], method="inverted_cdf")
+            fences[g, k] = a - rules.REACH * (b - a), b + rules.REACH * (b - a)
+    out = {}
+    for i, r in ratios.items():
+        out[i] = [k for k, (c, n, m) in enumerate(r) if c - 3 * (c * m) ** 0.5 > fences[groups[i], k][1] * max(1, n) or c + 3 * ((c + 1) * m) ** 0.5 < fences[groups[i], k][0] * max(1, n)]
+        assert got[i].kept == (not got[i].base and not out[i]), (i, out[i])
+    assert all(got[i].kept for i in range(240))
+    for i, k in zip(range(1000, 1006), (0, 1, 2, 3, 4, 4), strict=True):
+        assert not got[i].base and k in out[i], (i, out[i])
+
+
 def test_op9_many_groups_are_joined_salted(spark, data, monkeypatch):
-    want = {i: r.base_failed for i, r in result(spark, "op9_quality_rules", data).items()}
+    want = {i: (r.base_failed, r.kept) for i, r in result(spark, "op9_quality_rules", data).items()}
     monkeypatch.setattr(rules, "BROADCAST_GROUPS", 0)
-    assert {i: r.base_failed for i, r in result(spark, "op9_quality_rules", data).items()} == want
+    assert {i: (r.base_failed, r.kept) for i, r in result(spark, "op9_quality_rules", data).items()} == want
 
 
 def test_op10_base(spark, docs, data):
