@@ -3,12 +3,15 @@
 Documents are encoded and cut where they stand; only the histogram of piece lengths (at most CAP numbers)
 comes to the driver.  There lengths are taken from the longest down: an index of available single, pair and
 triple sums gives combinations that fill the rest of a sequence exactly, and as many sequences as the
-counts allow are made of each at once; what is left is packed best-fit.  The result is a list of patterns
+counts allow are made of each at once; what is left is packed best-fit.  Pieces of over half a sequence can have no
+other such piece beside them and need the short ones most, so they take their exact complements (single ones) and their
+best fits first; singles, pairs and triples then fill sequences exactly from the rest.  The result is a list of patterns
 with counts, so pieces find their places by their rank among the pieces of their length: a rank within a
 task, plus the count of that length in earlier tasks.  No global sort, no hot length.
 
-Defined results: a null text is empty and gives one piece, the closing id alone; repeated rows are packed
-one by one; an empty table gives an empty result.
+Defined results: a null or empty text gives one piece, the closing id alone; a very long text is cut into as many pieces as
+it needs; pieces of one length are alike, and their ranks settle ties; repeated rows are packed one by one; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -64,21 +67,33 @@ def encode_ids(text: str, path: str, chunks: Cache) -> bytes:
 
 
 class Solver:
-    """Fills sequences of cap from counts of lengths; patterns is a list of (lengths, how many).
+    """Fills sequences of cap from counts of lengths; patterns is a list of (lengths, how many)."""
 
-    depth is the most lengths that may fill a gap exactly, up to 3.
-    """
-
-    def __init__(self, counts: dict[int, int], cap: int, depth: int = 3):
-        self.cap, self.depth, self.patterns = cap, depth, []
+    def __init__(self, counts: dict[int, int], cap: int):
+        self.cap, self.patterns = cap, []
         self.count = np.zeros(cap + 1, np.int64)
         for length, n in counts.items():
             self.count[length] += n
+        self.opened: dict[int, list[list]] = {}  # gap -> [lengths, how many]
+        self.gaps = np.zeros(cap + 1, np.int64)
+        half = cap // 2
+        self._exactly(range(cap, half, -1), 1)
+        for length in range(cap, half, -1):
+            self._put((length,), int(self.count[length]))
+            self.count[length] = 0
+        self._best_fit(half, False)
+        for depth in (1, 2, 3):
+            self._exactly(range(half, 0, -1), depth)
+        self._best_fit(half, True)
+        self.patterns += [(lengths, n) for group in self.opened.values() for lengths, n in group]
+
+    def _exactly(self, lengths: range, depth: int) -> None:
+        """Consume combinations of a length and up to depth others that fill a sequence."""
         self._pair_sums()
-        for length in range(cap, 0, -1):
+        for length in lengths:
             while self.count[length] > 0:
                 self.count[length] -= 1
-                rest = self._exact(cap - length)
+                rest = self._complement(self.cap - length, depth)
                 self.count[length] += 1
                 if rest is None:
                     break
@@ -87,7 +102,6 @@ class Solver:
                 for x, k in need.items():
                     self.count[x] -= n * k
                 self.patterns.append(((length, *rest), n))
-        self._best_fit()
 
     def _pair_sums(self) -> None:
         """The index of sums of two available lengths; later it can only name too many."""
@@ -101,14 +115,14 @@ class Solver:
         fit = np.flatnonzero((self.count[long] > 0) & (self.count[gap - long] > (long == gap - long)))
         return (int(long[fit[0]]), int(gap - long[fit[0]])) if len(fit) else None
 
-    def _exact(self, gap: int) -> tuple[int, ...] | None:
+    def _complement(self, gap: int, depth: int) -> tuple[int, ...] | None:
         if not gap:
             return ()
-        if self.depth > 0 and self.count[gap] > 0:
+        if self.count[gap] > 0:
             return (gap,)
-        if self.depth > 1 and (pair := self._pair(gap)):
+        if depth > 1 and (pair := self._pair(gap)):
             return pair
-        if self.depth < 3:
+        if depth < 3:
             return None
         tried = 0
         long = np.arange(gap - 2, 0, -1)
@@ -123,43 +137,40 @@ class Solver:
                 self._pair_sums()
         return None
 
-    def _best_fit(self) -> None:
-        opened: dict[int, list[list]] = {}  # gap -> [lengths, how many]
-        gaps = np.zeros(self.cap + 1, np.int64)
-
-        def put(lengths: tuple[int, ...], n: int) -> None:
-            gap = self.cap - sum(lengths)
-            if n and gap:
-                opened.setdefault(gap, []).append([lengths, n])
-                gaps[gap] += 1
-            elif n:
-                self.patterns.append((lengths, n))
-
-        for length in range(self.cap, 0, -1):
+    def _put(self, lengths: tuple[int, ...], n: int) -> None:
+        gap = self.cap - sum(lengths)
+        if n and gap:
+            self.opened.setdefault(gap, []).append([lengths, n])
+            self.gaps[gap] += 1
+        elif n:
+            self.patterns.append((lengths, n))
+
+    def _best_fit(self, top: int, fresh: bool) -> None:
+        """Lengths from top down go where they leave least; what fits nowhere opens sequences if fresh, or stays."""
+        for length in range(top, 0, -1):
             left = int(self.count[length])
             while left:
-                fit = np.flatnonzero(gaps[length:])
+                fit = np.flatnonzero(self.gaps[length:])
                 if not len(fit):
                     break
                 gap = length + int(fit[0])
-                lengths, n = opened[gap].pop()
-                gaps[gap] -= 1
+                lengths, n = self.opened[gap].pop()
+                self.gaps[gap] -= 1
                 each = min(gap // length, left)
                 take = min(n, left // each)
                 left -= take * each
-                put(lengths, n - take)
-                put((*lengths, *[length] * each), take)
-            each = self.cap // length
-            put((length,) * each, left // each)
-            put((length,) * (left % each), 1 if left % each else 0)
-            self.count[length] = 0
-        self.patterns += [(lengths, n) for group in opened.values() for lengths, n in group]
+                self._put(lengths, n - take)
+                self._put((*lengths, *[length] * each), take)
+            if fresh:
+                each = self.cap // length
+                self._put((length,) * each, left // each)
+                self._put((length,) * (left % each), 1 if left % each else 0)
+                left = 0
+            self.count[length] = left
 
 
 def solve(counts: dict[int, int], cap: int) -> list[tuple[tuple[int, ...], int]]:
-    """The patterns of the depth that needs the fewest sequences: deep combinations can use up the short pieces that
-    best-fit would have placed better.  Only the histogram is gone over, so this costs the same for any input."""
-    return min((Solver(counts, cap, depth).patterns for depth in (3, 2, 1, 0)), key=lambda p: sum(n for _, n in p))
+    return Solver(counts, cap).patterns
 
 
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
@@ -228,9 +239,17 @@ def pack(docs: DataFrame, path: str, cap: int = CAP, doc_id: str = "doc_id", tex
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of at most CAP tokens.
+
+    Null and empty texts are the closing id alone; very long texts are cut into pieces; repeated rows are packed one by one; an
+    empty table gives no rows.  Only doc_id and text are read, so other columns cannot clash.
+    """
     return pack(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: the pieces of all documents with their places."""
+    """The last stage: the pieces of all documents with their places.
+
+    Null, empty and very long texts, repeated rows and empty tables as in op6; other columns are not read.
+    """
     return pack(docs, vocabulary_path("word_bpe_49k.json"))

@@ -294,6 +294,15 @@ def test_solver_uses_each_piece_once_and_few_sequences(top):
     assert sum(n for _, n in solved) <= _best_fit_decreasing(counts)
 
 
+def test_solver_uses_triples_and_reaches_the_bound():
+    """Lengths like those of a corpus: many short, some long, and full pieces."""
+    rng = np.random.default_rng(6)
+    counts = Counter(np.clip(rng.lognormal(6, 1, 8000), 1, 2048).astype(int).tolist())
+    solved = packing.solve(counts, 2048)
+    assert sum(n for lengths, n in solved if len(lengths) == 4 and sum(lengths) == 2048) > 50
+    assert sum(n for _, n in solved) <= -(-sum(k * n for k, n in counts.items()) // 2048) + 1
+
+
 def _bytes_brute(docs):
     seen, out = set(), {}
     for i, t in docs:
