@@ -290,9 +290,18 @@ def with_parents(df: DataFrame, levels: list[int], ord: str = "ord", k: str = "k
 
 
 def fabricate(df: DataFrame, level: int | None = None, ord: str = "ord", k: str = "k") -> DataFrame:
-    """cell_ids, the nested number of each cell; points (is_point) are truncated to order 24."""
+    """cell_ids, the nested number of each cell; points (is_point) are truncated to order 24.
+
+    Nested numbers mean nothing without their one order: areas of several orders fail, as do others than level if given.
+    """
     if level is not None and level > EXACT_ORDER:
         warnings.warn(f"nested numbers above order {EXACT_ORDER} are not exact as doubles", stacklevel=2)
     if "is_point" in df.columns:
         return df.withColumn("cell_ids", F.when(F.col("is_point"), nested(right(k, 10), F.lit(24))).otherwise(nested(k, ord)))
-    return df.withColumn("cell_ids", nested(k, ord))
+    if level is None:
+        orders = [r[0] for r in df.select(ord).distinct().limit(2).collect()]
+        if len(orders) > 1:
+            raise ValueError("cells of several orders have no common numbers")
+        level = orders[0] if orders else 0
+    other = F.raise_error(F.concat(F.lit(f"a cell is not of order {level}: "), F.col(ord).cast("string"))).cast("long")
+    return df.withColumn("cell_ids", F.when(F.col(ord) == level, nested(k, ord)).otherwise(other))

@@ -12,7 +12,8 @@ from sphereframe.functions import cells as C
 from sphereframe.functions import temporal as T
 from sphereframe.operators import moc
 
-COVERAGE_SPEC_BOX = 4
+#: Time spans are merged in blocks of 2**46 ns (19.5 hours) before their seams.
+TIME_BITS = 46
 
 
 class NoCoverageError(ValueError):
@@ -108,11 +109,18 @@ def temporal_cover(times: DataFrame | None) -> DataFrame | None:
     """Coalesced (start_ns, end_ns), ends exclusive; None where nothing is known."""
     if times is None:
         return None
-    spans = times.select(F.lit(0).alias("g"), F.col("start_ns").alias("lo"), (F.col("end_ns") - 1).alias("hi"))
-    merged = moc._merge(moc._merge(spans.withColumn("_b", F.shiftright("lo", 56)), ["_b"]).select(F.lit(0).alias("g"), "lo", "hi"), ["g"])
+    merged = moc.coalesce(times.select(F.col("start_ns").alias("lo"), (F.col("end_ns") - 1).alias("hi")), bits=TIME_BITS)
     return merged.select(F.col("lo").alias("start_ns"), (F.col("hi") + 1).alias("end_ns"))
 
 
+def companion_spans(rows: DataFrame, words: str, by: list[str]) -> DataFrame:
+    """(by..., start_ns, end_ns, word) over all the time words in an array column: the least range that covers them."""
+    each = rows.select(*by, F.explode(words).alias("_w"))
+    spans = each.groupBy(*by).agg(F.min(T.start_ns(F.col("_w"))).alias("start_ns"), F.max(T.end_ns(F.col("_w"))).alias("end_ns"), F.count(F.lit(1)).alias("_n"), F.min("_w").alias("_w"))
+    one = (F.col("_n") == 1) | (F.col("end_ns") == F.col("start_ns") + 1)  # a single instant keeps its word
+    return spans.select(*by, "start_ns", "end_ns", F.when(one, F.col("_w")).otherwise(T.range_word(F.col("start_ns"), F.col("end_ns") - 1)).alias("word"))
+
+
 def candidates(ranges: DataFrame, shard_order: int, aoi: DataFrame | None = None, times: DataFrame | None = None, when=None) -> DataFrame:
     """The shards (k) that a query can touch, from metadata alone, ascending."""
     shards = range_shards(ranges).where(F.col("ord") == shard_order)

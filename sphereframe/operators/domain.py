@@ -40,6 +40,12 @@ def from_cells(cells: DataFrame, order: int) -> DataFrame:
     return number(moc.coalesce(cells.select(k.alias("lo"), k.alias("hi")), order), order)
 
 
+def from_cover(cover: DataFrame, order: int) -> DataFrame:
+    """The cells of a cover of mixed orders; a member finer than the order fails."""
+    k = F.when(F.col("ord") <= order, F.col("k")).otherwise(F.raise_error(F.lit("a member is finer than the domain")).cast("long"))
+    return number(moc.coalesce(moc.intervals(cover.select("ord", k.alias("k")), order), order), order)
+
+
 def intersection(a: DataFrame, b: DataFrame, order: int) -> DataFrame:
     return number(moc.coalesce(moc.overlap(a, b, order), order), order)
 
@@ -101,20 +107,29 @@ def take(df: DataFrame, domain: DataFrame, position: str = "position") -> DataFr
     return rows.join(cut, on, "inner").withColumn("k", F.col("lo") + F.col("_p") - F.col("offset")).drop("lo", "hi", "offset", "_block", "_p", "_at")
 
 
-def subset(domain: DataFrame, start: int, stop: int, order: int) -> DataFrame:
-    """The sub-domain of positions [start, stop)."""
-    if start < 0 or stop < start:
+def subset(domain: DataFrame, start: int, stop: int, order: int, step: int = 1) -> DataFrame:
+    """The sub-domain of positions [start, stop), or of every step-th of them."""
+    if start < 0 or stop < start or step < 1:
         raise ValueError("positions must increase")
+    if step > 1:
+        own = fabricate(subset(domain, start, stop, order)).where(F.col("position") % step == 0)
+        return number(moc.coalesce(own.select(F.col("k").alias("lo"), F.col("k").alias("hi")), order), order)
     first, last = F.greatest("offset", F.lit(start)), F.least(F.col("offset") + F.col("hi") - F.col("lo"), F.lit(stop - 1))
     return number(domain.where(first <= last).select((F.col("lo") + first - F.col("offset")).alias("lo"), (F.col("lo") + last - F.col("offset")).alias("hi")), order)
 
 
+def subset_at(domain: DataFrame, positions: DataFrame, order: int, position: str = "position") -> DataFrame:
+    """The sub-domain of the given positions; negative ones count from the end, others outside fail, repeats count once."""
+    own = take(positions.select(position), domain, position)
+    return number(moc.coalesce(own.select(F.col("k").alias("lo"), F.col("k").alias("hi")), order), order)
+
+
 def select(rows: DataFrame, labels: DataFrame, ordinal: str = "ordinal", k: str = "k") -> DataFrame:
     """The rows of the asked cells, in the order asked for and as often; a missing cell fails."""
     asked = labels.select(F.col(ordinal), F.col(k).alias("_k"))
     own = rows.withColumn("_here", F.lit(True))
     out = asked.join(own, F.col("_k") == own[k], "left")
-    return out.where(F.when(F.col("_here").isNull(), F.raise_error(F.concat(F.lit("no such cell: "), F.col("_k").cast("string"))).cast("boolean")).otherwise(True)).drop("_k", "_here")
+    return out.where(F.when(F.col("_here").isNull(), F.raise_error(F.concat(F.lit("no such cell: "), F.col("_k").cast("string"))).cast("boolean")).otherwise(True)).drop("_k", "_here").orderBy(ordinal)
 
 
 def align(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
@@ -128,17 +143,18 @@ def reindex(domain: DataFrame, other: DataFrame, order: int, k: str = "k") -> Da
     return rank(other, domain, order, k, missing=-1)
 
 
-def concat(parts: list[DataFrame], strict: bool = True) -> DataFrame:
-    """The union of domains that follow each other; overlap or disorder fails if strict."""
+def concat(parts: list[DataFrame], order: int, strict: bool = True) -> DataFrame:
+    """The union of domains that follow each other, its positions those of the parts in turn; overlap or disorder fails
+    if strict.  Neighbours merge, and empty domains add nothing."""
     if strict:
         ends = [tuple(p.agg(F.min("lo"), F.max("hi")).first()) for p in parts]
         known = [e for e in ends if e[0] is not None]
         if any(y[0] <= x[1] for x, y in zip(known, known[1:], strict=False)):
             raise NotImplementedError("only disjoint domains in ascending order can be concatenated")
-    out = parts[0]
+    out = parts[0].select("lo", "hi")
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        out = out.unionByName(p.select("lo", "hi"))
+    return number(moc.coalesce(out, order), order)
 
 
 def single_order(cells: DataFrame) -> int:

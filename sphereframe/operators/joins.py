@@ -110,9 +110,9 @@ def occupancy_and(a: DataFrame, b: DataFrame) -> DataFrame:
 def occupancy_cells(a: DataFrame, b: DataFrame, region_order: int, out_order: int) -> DataFrame:
     """(region, k) at out_order: exact with exact by a join of cells, the rest from intervals, expanded last."""
     exact = a.where("exact").select("k").join(b.where("exact").select("k"), "k", "left_semi")
-    rest = []
-    for x, y in (("exact", "not exact"), ("not exact", "exact"), ("not exact", "not exact")):
-        rest.append(moc.overlap(moc.coalesce(moc.intervals(a.where(x), out_order), out_order), moc.coalesce(moc.intervals(b.where(y), out_order), out_order), out_order))
-    spans = moc.coalesce(rest[0].unionByName(rest[1]).unionByName(rest[2]), out_order)
+    spans = None
+    for x, y in (("exact", "not exact"), ("not exact", "true")):  # intervals of one side may overlap; repeated cells go at the end
+        met = moc.overlap(moc.intervals(a.where(x), out_order), moc.intervals(b.where(y), out_order), out_order)
+        spans = met if spans is None else spans.unionByName(met)
     every = exact.unionByName(spans.select(F.explode(F.sequence("lo", "hi")).alias("k"))).distinct()
     return every.select(C.parent("k", F.lit(out_order), F.lit(region_order)).alias("region"), "k")

@@ -17,8 +17,6 @@ from sphereframe.functions import cells as C
 
 #: Intervals are dealt out by these many quadtree levels below the base blocks.
 BLOCK_LEVELS = 6
-#: At most so many seams are stitched in one task before another level of blocks is used.
-MAX_STEPS = 64
 
 
 def intervals(cover: DataFrame, order: int = C.MAX_ORDER) -> DataFrame:
@@ -34,15 +32,15 @@ def _merge(df: DataFrame, by: list[str]) -> DataFrame:
     return runs.groupBy(*by, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
 
 
-def coalesce(df: DataFrame, order: int = C.MAX_ORDER, by: list[str] | None = None) -> DataFrame:
-    """Disjoint, non-adjacent intervals with the same union; a reversed interval fails.
+def coalesce(df: DataFrame, order: int = C.MAX_ORDER, by: list[str] | None = None, bits: int | None = None) -> DataFrame:
+    """Disjoint, non-adjacent intervals with the same union; a reversed interval fails.  bits: of a block, if not order's.
 
     Intervals are cut at block boundaries and merged inside blocks; an interval that fills its block's edge is
     then stitched to its neighbour.  Only intervals at block edges take part in the second step.
     """
     by = by or []
     lo = F.when(F.col("lo") > F.col("hi"), F.raise_error(F.lit("an interval is reversed")).cast("long")).otherwise(F.col("lo"))
-    bits = 2 * max(order - BLOCK_LEVELS, 0)
+    bits = 2 * max(order - BLOCK_LEVELS, 0) if bits is None else bits
     df = df.select(*by, lo.alias("lo"), "hi")
     cut = df.select(*by, "lo", "hi", F.explode(F.sequence(F.shiftright("lo", bits), F.shiftright("hi", bits))).alias("_block"))
     first, last = F.shiftleft("_block", bits), F.shiftleft(F.col("_block") + 1, bits) - 1
@@ -119,17 +117,14 @@ def cells_in(df: DataFrame, cover: DataFrame, orders: list[int], cell_orders: li
     up = member.select(F.explode(F.array(*[F.when(F.col("_mo") > o, F.struct(F.lit(o).alias("o"), C.parent("_mk", "_mo", F.lit(o)).alias("c"), F.lit(True).alias("up"))) for o in sorted(cell_orders)])).alias("x")).where("x IS NOT NULL").select("x.*") if cell_orders else None
     own = member.select(F.col("_mo").alias("o"), F.col("_mk").alias("c"), F.lit(False).alias("up"))
     wanted = (own.unionByName(up) if up is not None else own).groupBy("o", "c").agg(F.min("up").alias("up"))
+    if len(set(orders) | set(cell_orders)) <= 6:  # the rows pass once; each order looks its ancestor up
+        out, hits = df, F.lit(False)
+        for i, o in enumerate(sorted(set(orders) | set(cell_orders))):
+            of = wanted.where(F.col("o") == o).select(F.col("c").alias(f"_c{i}"), F.col("up").alias(f"_up{i}"))
+            out = out.join(of, F.when(F.col(ord) >= o, C.parent(k, ord, F.lit(o))) == F.col(f"_c{i}"), "left")
+            hits = hits | (F.col(f"_c{i}").isNotNull() & (~F.col(f"_up{i}") | (F.col(ord) == o)))
+        return out.where(hits).select(*[F.col(f"`{c}`") for c in df.columns])
     rows = df.withColumn("_keys", F.filter(keys, lambda x: x.isNotNull()))
-    if len(orders) <= 4 and len(cell_orders) <= 1:  # a semi-join for each order keeps the rows as they are
-        out, o = None, cell_orders[0] if cell_orders else None
-        own_keys = [(x, wanted.where((F.col("o") == x) & (~F.col("up") | F.lit(x == o))).select(F.col("c").alias("_c"))) for x in sorted(set(orders) | set(cell_orders))]
-        rest = df
-        for x, members in own_keys:
-            key = F.when(F.col(ord) >= x, C.parent(k, ord, F.lit(x)))
-            hit = rest.join(members, key == F.col("_c"), "left_semi")
-            out = hit if out is None else out.unionByName(hit)
-            rest = rest.join(members, key == F.col("_c"), "left_anti")
-        return out
     cells = rows.select(F.col(ord).alias("_ord"), F.col(k).alias("_k"), F.explode("_keys").alias("x")).distinct()
     good = cells.join(wanted, (F.col("x.o") == F.col("o")) & (F.col("x.c") == F.col("c")) & (~F.col("up") | (F.col("x.o") == F.col("_ord"))), "left_semi").select("_ord", "_k").distinct()
     return df.join(good, (F.col(ord) == F.col("_ord")) & (F.col(k) == F.col("_k")), "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sphereframe.functions import cells as C
@@ -118,26 +118,60 @@ def rasterize(digest: Column, z_lo: Column, resolution: Column, n_bins: int) ->
     return _let(edges, lambda e: F.transform(F.sequence(F.lit(0), F.lit(n_bins - 1)), lambda i: F.greatest(F.lit(0.0), F.get(e, i + 1) - F.get(e, i))))
 
 
-def z_windows(df: DataFrame, field: str, block_order: int, resolution: float, n_bins: int, fit: str = "raise") -> DataFrame:
-    """(block_k, z_lo, resolution, n_bins) of each block: the range of its centroids fitted to the bins.
+def digest_quantile(digest: Column, q: float) -> Column:
+    """The inverse of digest_cdf between the first and the last mean, which bound it; null for an empty digest."""
+    n = F.size(digest)
+
+    def at(m: Column) -> Column:
+        total = F.get(m, n - 1) + F.get(digest, n - 1)["weight"] / 2
+        want = total * F.lit(float(q))
+        left = F.size(F.filter(m, lambda x: x <= want))
+        a, b = F.get(digest, left - 1)["mean"], F.get(digest, left)["mean"]
+        inside = a + (want - F.get(m, left - 1)) / (F.get(m, left) - F.get(m, left - 1)) * (b - a)
+        return F.when(n == 0, F.lit(None)).when(left == 0, F.get(digest, 0)["mean"]).when(left == n, F.get(digest, n - 1)["mean"]).otherwise(inside)
+
+    return _let(_middles(digest), at)
+
+
+def merge_digests(df: DataFrame, field: str, level: int, size: int = 100, ord: str = "ord", k: str = "k") -> DataFrame:
+    """(ord, k, field) at level: the digests below each ancestor as one of at most size centroids.
+
+    Centroids of equal means add up before the shuffle; then each goes to one of size classes by the weight up to its
+    middle, and a class becomes its weighted mean.
+    """
+    rows = df.select(C.parent(k, ord, F.lit(level)).alias("k"), F.explode(field).alias("c"))
+    means = rows.groupBy("k", F.col("c.mean").alias("mean")).agg(F.sum("c.weight").alias("weight"))
+    w = Window.partitionBy("k").orderBy("mean").rowsBetween(Window.unboundedPreceding, 0)
+    middle = F.sum("weight").over(w) - F.col("weight") / 2
+    total = F.sum("weight").over(Window.partitionBy("k"))
+    classes = means.withColumn("_class", F.least(F.floor(middle * size / total), F.lit(size - 1)))
+    merged = classes.groupBy("k", "_class").agg((F.sum(F.col("mean") * F.col("weight")) / F.sum("weight")).alias("mean"), F.sum("weight").alias("weight"))
+    return merged.groupBy(F.lit(level).alias("ord"), "k").agg(F.sort_array(F.collect_list(F.struct("mean", "weight"))).alias(field))
+
+
+def z_windows(df: DataFrame, field: str, block_order: int, resolution: float, n_bins: int, fit: str = "raise", bottom: float = 0.05, top: float = 0.95) -> DataFrame:
+    """(block_k, z_lo, resolution, n_bins) of each block: the whole numbers around its cells' quantiles bottom and top,
+    fitted to the bins.
 
     raise: a range that does not fit fails; degrade_resolution: the resolution doubles until it fits;
-    collapse_bins: the number of bins halves while the range still fits.
+    collapse_bins: the number of bins is the least power of two that still fits, and a range beyond all bins fails.
     """
     if fit not in ("raise", "degrade_resolution", "collapse_bins"):
         raise ValueError(f"no such fit: {fit}")
-    rows = df.where(F.size(field) > 0).select(C.parent("k", "ord", F.lit(block_order)).alias("block_k"), F.array_min(F.transform(field, lambda c: c["mean"])).alias("lo"), F.array_max(F.transform(field, lambda c: c["mean"])).alias("hi"))
-    spans = rows.groupBy("block_k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    z_lo = F.floor(F.col("lo") / resolution) * resolution
-    need = F.col("hi") - z_lo
-    over = need >= n_bins * resolution
-    doubled = F.lit(resolution) * F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(need, F.lit(1e-300)) / (n_bins * resolution))) + 1, F.lit(0)))
-    bins = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(need / resolution, F.lit(1.0)))) + 1, F.lit(0))).cast("int")
-    res = {"raise": F.when(over, F.raise_error(F.lit("a block's range does not fit the bins")).cast("double")).otherwise(F.lit(resolution)), "degrade_resolution": doubled, "collapse_bins": F.when(over, F.raise_error(F.lit("a block's range does not fit the bins")).cast("double")).otherwise(F.lit(resolution))}[fit]
-    return spans.select("block_k", z_lo.alias("z_lo"), res.alias("resolution"), (F.least(bins, F.lit(n_bins)) if fit == "collapse_bins" else F.lit(n_bins)).alias("n_bins"))
-
-
-def tensors(df: DataFrame, field: str, occupancy: DataFrame, ord: int, block_order: int, resolution: float, n_bins: int, fit: str = "raise", max_block_bytes: int = 2 << 30) -> DataFrame:
+    rows = df.where(F.size(field) > 0).select(C.parent("k", "ord", F.lit(block_order)).alias("block_k"), digest_quantile(F.col(field), bottom).alias("lo"), digest_quantile(F.col(field), top).alias("hi"))
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    spans = rows.where(finite(F.col("lo")) & finite(F.col("hi"))).groupBy("block_k").agg(F.floor(F.min("lo")).cast("double").alias("z_lo"), F.ceil(F.max("hi")).cast("double").alias("hi"))
+    need = F.col("hi") - F.col("z_lo")
+    over = need > n_bins * resolution
+    no = F.raise_error(F.lit("a block's range does not fit the bins")).cast("double")
+    doubled = F.lit(resolution) * F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(need / (n_bins * resolution), F.lit(1.0)))))
+    bins = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(need / resolution, F.lit(1.0))))).cast("int")
+    res = F.when(over, doubled if fit == "degrade_resolution" else no).otherwise(F.lit(resolution))
+    most = 1 << (n_bins.bit_length() - 1)
+    return spans.select("block_k", "z_lo", res.alias("resolution"), (F.least(bins, F.lit(most)) if fit == "collapse_bins" else F.lit(n_bins)).alias("n_bins"))
+
+
+def tensors(df: DataFrame, field: str, occupancy: DataFrame, ord: int, block_order: int, resolution: float, n_bins: int, fit: str = "raise", max_block_bytes: int = 2 << 30, bottom: float = 0.05, top: float = 0.95) -> DataFrame:
     """Long-form histogram tensors: block_k, row, col, mask, z_lo, resolution, counts.
 
     Every cell of a block with data has a row.  mask is 2 with a digest, 1 if only occupied, 0 if neither;
@@ -146,7 +180,7 @@ def tensors(df: DataFrame, field: str, occupancy: DataFrame, ord: int, block_ord
     side = 1 << (ord - block_order)
     if side * side * n_bins * 4 > max_block_bytes:
         raise ValueError("a block would exceed max_block_bytes")
-    windows = z_windows(df, field, block_order, resolution, n_bins, fit)
+    windows = z_windows(df, field, block_order, resolution, n_bins, fit, bottom, top)
     blocks = windows.select("*", F.explode(C.children("block_k", F.lit(block_order), F.lit(ord))).alias("k"))
     data = df.where((F.col("ord") == ord) & (F.size(field) > 0)).select("k", F.col(field).alias("_digest"))
     occupied = occupancy.where(F.col("ord") == ord).select("k").distinct().withColumn("_occupied", F.lit(True))

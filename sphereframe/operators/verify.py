@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sphereframe.functions import cells as C
+from sphereframe.operators import nested as N
 
 _FORMATS = {"tinyint": "<b", "smallint": "<h", "int": "<i", "bigint": "<q", "float": "<f", "double": "<d"}
 
@@ -102,19 +103,24 @@ def overview_nodes(shards: DataFrame, shard_order: int, order: int) -> DataFrame
 
 #: How a field's values fold into a coarser cell; null (no data) is skipped by all.
 FOLDS = {"sum": F.sum, "min": F.min, "max": F.max, "mean": F.avg, "count": F.count}
+#: The method of fields that are digests.
+DIGEST = "tdigest_kway"
 
 
 def pyramid_level(df: DataFrame, methods: dict[str, str], level: int) -> DataFrame:
-    """The cells at level with each field folded by its method; fields of method none are left out."""
-    folds = [FOLDS[m](c).alias(c) for c, m in methods.items() if m != "none"]
-    return df.groupBy(F.lit(level).alias("ord"), C.parent("k", "ord", F.lit(level)).alias("k")).agg(*folds)
+    """The cells at level with each field folded by its method; fields of method none are left out, digests (tdigest_kway) merge."""
+    folds = [FOLDS[m](c).alias(c) for c, m in methods.items() if m in FOLDS]
+    out = df.groupBy(F.lit(level).alias("ord"), C.parent("k", "ord", F.lit(level)).alias("k")).agg(*folds, F.count(F.lit(1)).alias("_n")).drop("_n")
+    for c in (c for c, m in methods.items() if m == DIGEST):
+        out = out.join(N.merge_digests(df, c, level), ["ord", "k"], "left")
+    return out
 
 
 def pyramid(df: DataFrame, methods: dict[str, str], levels: list[int]) -> dict[int, DataFrame]:
     """A frame for each level, each made from the next finer one where all methods compose."""
     out: dict[int, DataFrame] = {}
     base = df
-    composes = all(m in ("sum", "min", "max", "none") for m in methods.values())
+    composes = all(m in ("sum", "min", "max", "none", DIGEST) for m in methods.values())
     for level in sorted(levels, reverse=True):
         out[level] = pyramid_level(base, methods, level)
         base = out[level] if composes else df

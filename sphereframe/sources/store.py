@@ -155,10 +155,16 @@ def read_manifest(spark: SparkSession, root: str) -> Manifest:
 
 
 def list_products(spark: SparkSession, root: str) -> list[tuple[str, Manifest | None]]:
-    """(name, manifest) by name; folders without a manifest are skipped, an unsupported one gives None."""
+    """(name, manifest) by name of the folders in root, one level; those without a manifest are skipped, an unsupported
+    one gives None."""
+    from pyspark.errors import AnalysisException
+
     if _text(spark, f"{root}/{MANIFEST}") is not None:
         return []
-    rows = spark.read.option("pathGlobFilter", MANIFEST).option("recursiveFileLookup", "true").text(root, wholetext=True).select("value", F.input_file_name().alias("path")).collect()
+    try:
+        rows = spark.read.text(f"{root}/*/{MANIFEST}", wholetext=True).select("value", F.input_file_name().alias("path")).collect()
+    except AnalysisException:  # no folder has one
+        return []
     out = []
     for r in rows:
         name = r.path.rstrip("/").split("/")[-2]
@@ -305,7 +311,8 @@ def write_store(cells: DataFrame, root: str, cell_order: int, shard_order: int,
     by = ["shard_k"]
     if window is not None:
         rows, by = rows.withColumn("window", F.lit(validate_label(window))), ["window", "shard_k"]
-    rows.repartition("shard_k").sortWithinPartitions("shard_k", "k").write.mode("append").partitionBy(*by).parquet(f"{root}/cells")
+    # a second run replaces the shards that it writes, of its window only
+    rows.repartition("shard_k").sortWithinPartitions("shard_k", "k").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{root}/cells")
     written = spark.read.parquet(f"{root}/cells")
     meta = written.groupBy("shard_k", *(["window"] if window is not None else [])).agg(F.count(F.lit(1)).alias("cells_with_data"))
     meta.select("*", F.lit(True).alias("stamped"), F.when(F.col("cells_with_data") == 4 ** (cell_order - shard_order), "full").otherwise("bitmap").alias("encoding"), F.lit(cell_order).alias("env_order")).write.mode("overwrite").parquet(f"{root}/leaf_meta")

@@ -79,7 +79,15 @@ def test_domain_round_trip(spark):
     with pytest.raises(Exception, match="not in the domain"):
         D.rank(frame(spark, [(2, 50)]), dom, 2).collect()
     with pytest.raises(NotImplementedError):
-        D.concat([dom, dom])
+        D.concat([dom, dom], 2)
+    later = D.from_cells(frame(spark, [(2, k) for k in (91, 95)]), 2)
+    assert rows(D.concat([dom, dom.limit(0), later], 2)) == [(17, 19, 0), (40, 41, 3), (90, 91, 5), (95, 95, 7)]
+    assert rows(D.subset(dom, 1, 6, 2, step=2)) == [(18, 18, 0), (40, 40, 1), (90, 90, 2)]
+    assert rows(D.subset_at(dom, spark.createDataFrame([(0,), (1,), (-1,), (0,)], "position bigint"), 2)) == [(17, 18, 0), (90, 90, 2)]
+    assert rows(D.from_cover(frame(spark, [(1, 4), (2, 20)]), 2)) == [(16, 20, 0)]
+    assert [r.ordinal for r in D.select(frame(spark, [(2, 5), (2, 6)]), spark.createDataFrame([(3, 5), (1, 6), (2, 5)], "ordinal int, k bigint")).collect()] == [1, 2, 3]
+    with pytest.raises(ValueError, match="several orders"):
+        C.fabricate(frame(spark, [(2, 17), (3, 70)]))
 
 
 def test_join_coarse_gates(spark):
