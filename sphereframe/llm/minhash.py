@@ -11,7 +11,7 @@ outside the largest one is compared, in blocks, with those of other components.
 Defined results: null, empty and wordless texts have no shingles and link with nothing (a component of
 their own); a text of fewer than two words has one shingle; equal rows are in one component; a null doc_id
 orders last and shows as a null component only where nothing else is reachable; an empty table gives an
-empty result.  Rows that share a doc_id stay or go together in the pipeline's stage.
+empty result.  A very long text is one large set like any other; its bins fill, and blocks are measured in shingles.
 """
 
 from __future__ import annotations
@@ -32,8 +32,11 @@ BANDS, ROWS, PERCENT = 32, 4, 80
 BINS = BANDS * ROWS
 #: Sets up to SMALL get independent permutations, sets from PERCENT of that on one-permutation bins.
 SMALL = 96
-#: Sets of a block when what the stars leave open is compared.
-BLOCK = 256
+#: Shingles of a block's side when what the stars leave open is compared.
+BLOCK = 100_000
+#: Members of a bucket beyond which its rows are dealt to several tasks, and the least share of all rows for that: so no
+#: more than 1 / SHARE buckets are dealt, and their keys can be broadcast.
+CROWD, SHARE = 2_000, 2e-5
 _U = np.uint64
 
 
@@ -146,26 +149,44 @@ def _pairs(stars: DataFrame) -> DataFrame:
     return stars.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
+def _crowded(shared: DataFrame) -> DataFrame:
+    """(key, parts) of the buckets (key, n) that one task should not hold; at most 1 / SHARE rows and parts."""
+    least = max(CROWD, int(SHARE * (shared.agg(F.sum("n")).first()[0] or 0)))
+    return F.broadcast(shared.where(F.col("n") > least).select("key", F.ceil(F.col("n") / least).cast("int").alias("parts")))
+
+
+def _dealt(members: DataFrame, crowded: DataFrame) -> DataFrame:
+    """members (key, node) with the part of its bucket that each is in."""
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).otherwise(0)
+    return members.join(crowded, "key", "left").withColumn("part", part).drop("parts")
+
+
+def _to_all(buckets: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Rows of one bucket each, repeated for each of its parts."""
+    return buckets.join(crowded, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+
+
+def _unsettled(members: DataFrame, comps: DataFrame, crowded: DataFrame) -> DataFrame:
     """(key, node, comp) of the buckets with members of several components, two apart: their edge has been tested."""
-    own = members.join(comps.select(F.col("id").alias("node"), "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    own = members.join(comps.select(F.col("id").alias("node"), "component"), "node", "left").select("key", "part", "node", F.coalesce("component", "node").alias("comp"))
     mixed = own.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where("x != y and n > 2").select("key")
-    return own.join(mixed, "key", "left_semi")
+    return own.join(_to_all(mixed, crowded), ["key", "part"], "left_semi").select("key", "part", "node", "comp")
 
 
-def _settle(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between components that share a bucket of open_ (key, node, comp).
+def _settle(open_: DataFrame, sets: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Links (a, b) between components that share a bucket of open_ (key, part, node, comp).
 
     Buckets that share nodes make a family.  In it every node outside the largest component meets every node
-    of another component, in blocks of about BLOCK by BLOCK sets: a set travels once a block, not once a pair,
+    of another component, in blocks of about BLOCK by BLOCK shingles: a set travels once a block, not once a pair,
     and only links come back.
     """
     first = open_.groupBy("key").agg(F.min("node").alias("a"))
-    family = components(open_.join(first, "key").select("a", F.col("node").alias("b")))
-    nodes = materialize(open_.select("node", "comp").distinct().join(family.select(F.col("id").alias("node"), F.col("component").alias("family")), "node"))
-    sizes = nodes.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.max("n").alias("held"), F.sum("n").alias("all"))
+    family = components(open_.join(_to_all(first, crowded), ["key", "part"]).select("a", F.col("node").alias("b")))
+    nodes = open_.select("node", "comp").distinct().join(family.select(F.col("id").alias("node"), F.col("component").alias("family")), "node")
+    nodes = materialize(nodes.join(sets.select("node", F.size("shingles").cast("long").alias("n")), "node"))
+    sizes = nodes.groupBy("family", "comp").agg(F.sum("n").alias("n")).groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.max("n").alias("held"), F.sum("n").alias("all"))
     blocks = sizes.select("family", "most", F.ceil((F.col("all") - F.col("held")) / BLOCK).cast("int").alias("fs"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ms"))
-    rows = nodes.join(blocks, "family").join(sets, "node")
+    rows = nodes.drop("n").join(blocks, "family").join(sets, "node")
     deal = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
     every = F.transform(F.sequence(F.lit(0), F.col("fs") - 1), lambda i: F.struct(i.alias("f"), deal("ms", 1).alias("m"), F.lit(False).alias("few")))
     few = F.when(F.col("comp") != F.col("most"), F.transform(F.sequence(F.lit(0), F.col("ms") - 1), lambda i: F.struct(deal("fs", 2).alias("f"), i.alias("m"), F.lit(True).alias("few")))).otherwise(F.expr("array()"))
@@ -199,20 +220,21 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     nodes = materialize(signed.where("node is not null").groupBy("node").agg(F.min(d).alias("d"), F.first("keys").alias("keys")))
     members = nodes.select("node", F.explode("keys").alias("key")).select("key", "node")
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(members.join(shared, "key"))
+    shared = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    crowded = _crowded(shared)
+    members = materialize(_dealt(members, crowded).join(_to_all(shared, crowded), ["key", "part"]))
     # the member that meets most others, over all its buckets, is the likeliest to be near them all
     weight = members.groupBy("node").agg(F.sum("n").alias("w"))
     centres = members.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("w", "node")).alias("a"))
-    members = members.select("key", "node")
-    tested = materialize(_pairs(members.join(centres, "key").select("a", F.col("node").alias("b"))))
+    members = members.select("key", "part", "node")
+    tested = materialize(_pairs(members.join(_to_all(centres, crowded), ["key", "part"]).select("a", F.col("node").alias("b"))))
     needed = nodes.select("node", "d").join(members.select("node").distinct(), "node", "left_semi")
     sets = materialize(_sets(docs, needed, size))
     links = materialize(_confirm(tested, sets))
     comps = components(links)
-    open_ = materialize(_unsettled(members, comps))
+    open_ = materialize(_unsettled(members, comps, crowded))
     if not open_.isEmpty():
-        found = materialize(_settle(open_, sets))
+        found = materialize(_settle(open_, sets, crowded))
         if not found.isEmpty():
             comps = components(links.unionByName(found))
     named = nodes.select("node", "d").join(comps.select(F.col("id").alias("node"), "component"), "node", "left").select("node", "d", F.coalesce("component", "node").alias("comp"))
@@ -224,13 +246,20 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-equal sets of word pairs over all whole texts of documents.
+
+    Null, empty and wordless texts link with nothing; very long texts are read whole; equal rows are in one component; an
+    empty table gives no rows.  Only doc_id (a number) and text are read, so other columns cannot clash.
+    """
     return near_duplicates(table(spark, sf_dir, "documents"), 2)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates (five-word shingles, similarity of 0.8) stays: that of the least doc_id.
 
-    Rows go by a number that is stored with them, as a doc_id may be null or that of other texts as well.
+    Rows go by a number that is stored with them, as a doc_id may be null or that of other texts as well.  Null, empty and
+    wordless texts stay, each for itself; of repeated rows one stays; ties of doc_id go by the stored number; an empty table
+    stays empty; columns of any names are kept.
     """
     own = fresh(docs, "_row")
     rows = materialize(docs.withColumn(own, F.monotonically_increasing_id()))
@@ -239,8 +268,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = materialize(groups.join(ids, "doc_id"))
     several = groups.where("doc_id != component_id")
     first = groups.join(several.select("component_id").distinct(), "component_id").groupBy("component_id").agg(F.min(F.struct("d", "doc_id"))["doc_id"].alias("stays"))
-    gone = groups.join(first, "component_id").where("doc_id != stays").select(F.col("doc_id").alias("_gone"))
-    return rows.join(gone, F.col(own) == F.col("_gone"), "left_anti").drop(own)
+    gone = groups.join(first, "component_id").where("doc_id != stays").select(F.col("doc_id").alias(own))
+    return rows.join(gone, own, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The same rows in SQL, for tables with unique ids.  Sets within the threshold share one of their rarest shingles, a fifth of them and one.

@@ -364,6 +364,13 @@ def test_op8_brute_force(spark, docs, data):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), name[i], name[i] == i) for i, _ in docs}
 
 
+def test_op8_crowded_buckets_are_dealt_out(spark, docs, data, monkeypatch):
+    want = sorted(map(tuple, QUERIES["op8_minhash_near_dedup"](spark, data).collect()))
+    monkeypatch.setattr(minhash, "CROWD", 1)
+    monkeypatch.setattr(minhash, "BLOCK", 50)
+    assert sorted(map(tuple, QUERIES["op8_minhash_near_dedup"](spark, data).collect())) == want
+
+
 def test_op8_chains_are_not_lost(spark):
     """Neighbours in a chain are near, its ends are not: stars alone would lose links."""
     rng = random.Random(8)
