@@ -33,7 +33,7 @@ BINS = BANDS * ROWS
 #: Sets up to SMALL get independent permutations, sets from PERCENT of that on one-permutation bins.
 SMALL = 96
 #: Shingles of a block's side when what the stars leave open is compared.
-BLOCK = 100_000
+BLOCK = 25_000
 #: Members of a bucket beyond which its rows are dealt to several tasks, and the least share of all rows for that: so no
 #: more than 1 / SHARE buckets are dealt, and their keys can be broadcast.
 CROWD, SHARE = 2_000, 2e-5
