@@ -6,9 +6,9 @@ a path collapse when the paths are joined by those names, and only paths that me
 are opened again into edges, which are joined by their hashes.  Places in the sources (document, word) decide which
 occurrence is the first, and the spans that the covered edges make are cut out of the texts themselves.
 
-Windows are compared by two 64-bit hashes, of the window and of its minimizer.  Defined results: a null text
-has no words; repeated rows of one doc_id do not cover each other; a null doc_id comes after all others; an
-empty table gives an empty result.
+Windows are compared by two 64-bit hashes, of the window and of its minimizer.  Defined results: a null or empty text
+has no words; a very long text is read whole; rows of one doc_id do not cover each other; a null doc_id comes after all
+others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sphereframe.llm import repeats as R
-from sphereframe.llm.common import table
+from sphereframe.llm.common import materialize, table
 from sphereframe.llm.minhash import word_cache
 
 WINDOW, K = 13, 4
@@ -40,37 +40,29 @@ def _reader():
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs: d, doc_id, text.  (d, at) of the windows that also start in a document of smaller d."""
-    found = R.checkpointed(R.scan(docs, _reader, window, K, within=False))
-    open_ = docs.select("d", "text").join(R.by_document(found.where("not covered"), "open"), "d")
+    """docs: d, h, text.  (d, h, at) of the windows that also start in a document of smaller d."""
+    found = materialize(R.scan(docs, _reader, window, K, within=False))
+    open_ = docs.select("d", "h", "text").join(R.by_document(found.where("not covered"), "open"), ["d", "h"])
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, held, n_held = _reader(), [], 0
         for b in batches:
-            for d, x, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                raw, u = of(x.as_py())
-                bits = R.text_bits(raw)
-                start, n = R.unpack(at.values.to_numpy(), bits)
-                if not len(start) or len(u) < window:
-                    continue
+            for d, h, x, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                _, u = of(x.as_py())
+                start, n = R.unpack(at.values.to_numpy())
                 spans, first, _, mini, _ = R.pieces(u, window, K)
                 own = mini[np.searchsorted(first, start, side="right") - 1]
                 places = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                held.append((np.repeat(own, n), spans.of(places, window), np.full(len(places), d, np.int64), (bits << 40) + (places << 8) + 1))
+                held.append((spans.of(places, window), np.repeat(own, n), np.full(len(places), d, np.int64), np.full(len(places), h, np.int64), (places << 8) + 1))
                 n_held += len(places)
                 if n_held >= R.HOLD:
-                    yield _by_edge(held)
+                    yield R.spread(held, False)
                     held, n_held = [], 0
-        if held:
-            yield _by_edge(held)
+        if held:  # edges go by their own hash, so a crowded minimizer's spread
+            yield R.spread(held, False)
 
-    opened = open_.select("d", "text", "open").mapInArrow(edges, R.SPREAD)
-    return found.where("covered").select("d", "at").unionByName(R.checkpointed(R.settle(opened, within=False)))
-
-
-def _by_edge(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """Edges go by their own hash, so that a crowded minimizer's edges spread."""
-    return R.spread([(e, m, d, at) for m, e, d, at in held], False)
+    opened = open_.select("d", "h", "text", "open").mapInArrow(edges, R.SPREAD)
+    return found.where("covered").select("d", "h", "at").unionByName(materialize(R.settle(opened, within=False)))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -85,8 +77,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 raw = x.as_py().encode("utf-8", "replace")
                 words = raw.split()
                 if at.is_valid and len(words) >= window:
-                    start, n = R.unpack(at.values.to_numpy(), R.text_bits(raw))
-                    off = R.mark(len(words), window, start, n)
+                    off = R.mark(len(words), window, *R.unpack(at.values.to_numpy()))
                     kept = [w for w, o in zip(words, off.tolist(), strict=True) if not o]
                 else:
                     kept = words
@@ -97,10 +88,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c if k != kinds[3] or i < 3 else [v.decode() for v in c], k) for i, (c, k) in enumerate(zip(out, kinds, strict=True))]], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.join(gone, "d", "left").select("doc_id", "text", "gone").mapInArrow(cut, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    return rows.join(gone, ["d", "h"], "left").select("doc_id", "text", "gone").mapInArrow(cut, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each whole text of documents repeats from a smaller doc_id (a number), in windows of 13 words.
+
+    Null and empty texts have no words; very long texts are read whole; repeated rows get equal results; an empty table
+    gives no rows.  Only doc_id and text are read, so other columns cannot clash.
+    """
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
 

@@ -7,19 +7,17 @@ minimizer that several places have stay open, and only their windows are compare
 Within a task, later copies of a piece are told covered before the shuffle and are spread evenly, so a piece
 held by a third of all rows sends one row a task to its minimizer.
 
-A document is keyed by d, its doc_id (null last), and 23 bits of its text's hash, so that rows which share a
-doc_id do not mix; at packs those bits, the first window's start and the number of windows.
+A row is keyed by d, its doc_id (null last), and h, the 64-bit hash of its whole text, so rows that share a doc_id do
+not mix and equal rows count once; at packs the first window's start and the number of windows.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sphereframe.llm.common import NULL_ID, materialize
@@ -77,52 +75,50 @@ def pieces(units: np.ndarray, window: int, k: int) -> tuple[Hashes, np.ndarray,
     return spans, first, n, grams[at[first]], spans.of(first, n + window - 1)
 
 
-def text_bits(raw: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(raw) & 0x7FFFFF
-
-
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text.  d, doc_id, text with nulls replaced where they would be in the way."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """docs: doc_id, text.  d, h, doc_id, text with nulls replaced where they would be in the way."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.xxhash64(text).alias("h"), "doc_id", text.alias("text"))
 
 
-def _later(keys: list[np.ndarray], d: np.ndarray, at: np.ndarray, within: bool) -> np.ndarray:
-    """Which rows are later than the first with the same keys: by d, or by (d, at) if within."""
-    order = np.lexsort((at, d, *keys[::-1]))
+def later(keys: list[np.ndarray], place: list[np.ndarray], within: bool) -> np.ndarray:
+    """Which rows are later than the first with the same keys: by d, or by the whole place (d, h, at) if within."""
+    order = np.lexsort((*place[::-1], *keys[::-1]))
     new = np.zeros(len(order), bool)
     new[:1] = True
     for k in keys:
         new[1:] |= k[order][1:] != k[order][:-1]
     head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    late = np.empty(len(order), bool)
-    late[order] = (d[order] != d[head]) | (within & (at[order] != at[head]))
+    late = np.zeros(len(order), bool)
+    for x in place if within else place[:1]:
+        late[order] |= x[order] != x[head]
     return late
 
 
 def spread(rows: list[tuple[np.ndarray, ...]], within: bool) -> pa.RecordBatch:
-    """Rows (two keys, d, at) of a task as go, key, d, at.
+    """Rows (two keys, d, h, at) of a task as go, key, d, h, at.
 
     An even go is the first key.  Rows covered already have an odd go, which only spreads them, and no key: they
     need no more room in the shuffle than their place.
     """
-    a, b, d, at = (np.concatenate(c) for c in zip(*rows, strict=True))
+    a, b, d, h, at = (np.concatenate(c) for c in zip(*rows, strict=True))
     a = a & ~_U(1)
-    late = _later([a, b], d, at, within)
-    go = np.where(late, mix(at.view(np.uint64) ^ d.view(np.uint64)) >> _U(32) << _U(1) | _U(1), a)
-    return pa.RecordBatch.from_arrays([pa.array(go.view(np.int64)), pa.array(np.where(late, _U(0), b).view(np.int64)), pa.array(d), pa.array(at)], ["go", "key", "d", "at"])
+    late = later([a, b], [d, h, at], within)
+    go = np.where(late, mix(at.view(np.uint64) ^ h.view(np.uint64)) >> _U(32) << _U(1) | _U(1), a)
+    return pa.RecordBatch.from_arrays([pa.array(go.view(np.int64)), pa.array(np.where(late, _U(0), b).view(np.int64)), pa.array(d), pa.array(h), pa.array(at)], ["go", "key", "d", "h", "at"])
 
 
-SPREAD = "go bigint, key bigint, d bigint, at bigint"
+SPREAD = "go bigint, key bigint, d bigint, h bigint, at bigint"
 
 
 def _covered(within: bool):
     """The place of a row of spread, and whether it is later than the first with its keys."""
-    place = F.struct("d", "at") if within else F.col("d")
+    place = F.struct("d", "h", "at") if within else F.col("d")
     return place, (F.col("go").bitwiseAND(F.lit(1)) == 1) | (place > F.min(place).over(Window.partitionBy("go", "key")))
 
 
 def scan(rows: DataFrame, units: Callable, window: int, k: int, within: bool) -> DataFrame:
-    """rows: d, text.  The pieces under minimizers that several places have: d, at, covered, crowd.
+    """rows: d, h, text.  The pieces under minimizers that several places have: d, h, at, covered, crowd.
 
     units gives a function from a text to its bytes and its 64-bit units; it is called once a task.
     """
@@ -130,13 +126,13 @@ def scan(rows: DataFrame, units: Callable, window: int, k: int, within: bool) ->
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, held, n_held = units(), [], 0
         for b in batches:
-            for d, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw, u = of(x.as_py())
+            for d, h, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                _, u = of(x.as_py())
                 if len(u) < window:
                     continue
                 _, first, n, mini, body = pieces(u, window, k)
-                at = (text_bits(raw) << 40) + (first.astype(np.int64) << 8) + n
-                held.append((mini, body, np.full(len(at), d, np.int64), at))
+                at = (first.astype(np.int64) << 8) + n
+                held.append((mini, body, np.full(len(at), d, np.int64), np.full(len(at), h, np.int64), at))
                 n_held += len(at)
                 if n_held >= HOLD:
                     yield spread(held, within)
@@ -146,26 +142,25 @@ def scan(rows: DataFrame, units: Callable, window: int, k: int, within: bool) ->
 
     place, covered = _covered(within)
     one = Window.partitionBy("go")
-    out = rows.select("d", "text").mapInArrow(extract, SPREAD).withColumn("covered", covered)
+    out = rows.select("d", "h", "text").mapInArrow(extract, SPREAD).withColumn("covered", covered)
     out = out.withColumn("crowd", F.count(F.lit(1)).over(one)).withColumn("several", F.min(place).over(one) < F.max(place).over(one))
-    return out.where("covered or several").select("d", "at", "covered", "crowd")
+    return out.where("covered or several").select("d", "h", "at", "covered", "crowd")
 
 
 def settle(rows: DataFrame, within: bool) -> DataFrame:
-    """rows as of spread, their keys an edge's hash and its minimizer; (d, at) of those covered."""
-    return rows.withColumn("covered", _covered(within)[1]).where("covered").select("d", "at")
+    """rows as of spread, their keys an edge's hash and its minimizer; (d, h, at) of those covered."""
+    return rows.withColumn("covered", _covered(within)[1]).where("covered").select("d", "h", "at")
 
 
 def by_document(rows: DataFrame, name: str) -> DataFrame:
-    """(d, list of at): as long as the document's own windows at most."""
-    return rows.groupBy("d").agg(F.collect_list("at").alias(name))
+    """(d, h, set of at): as long as the document's own windows at most, however many equal rows there are."""
+    return rows.groupBy("d", "h").agg(F.collect_set("at").alias(name))
 
 
-def unpack(at, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The starts and counts of windows of those places that belong to the text with these bits."""
-    a = np.asarray(at if at is not None else [], np.int64)
-    a = a[a >> 40 == bits]
-    return (a >> 8) & 0xFFFFFFFF, a & 0xFF
+def unpack(at) -> tuple[np.ndarray, np.ndarray]:
+    """The starts and counts of windows, in order."""
+    a = np.sort(np.asarray(at if at is not None else [], np.int64))
+    return a >> 8, a & 0xFF
 
 
 def mark(n_units: int, window: int, start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -174,17 +169,3 @@ def mark(n_units: int, window: int, start: np.ndarray, count: np.ndarray) -> np.
     np.add.at(edge, start, 1)
     np.add.at(edge, start + count - 1 + window, -1)
     return np.cumsum(edge)[:n_units] > 0
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that are not referred to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df as a stored table; its own shuffle files can go once nothing refers to df."""
-    spark, out = df.sparkSession, materialize(df)
-    del df
-    release(spark)
-    return out

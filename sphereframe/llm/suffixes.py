@@ -8,8 +8,9 @@ neighbours in that order then give the groups of equal strings, and the first pl
 A minimizer with more than CROWD places would make a block without bound: its strings are compared by hashes
 over a shuffle instead, with the same result.
 
-Defined results: null text is empty; repeated rows of one doc_id and text keep each other; a null doc_id comes
-after all others; an empty table gives an empty result.  What stays is cut at bytes, so it need not be valid
+Defined results: a null text is empty; a very long text is read whole; repeated rows of one doc_id and text keep each
+other, unlike texts of one doc_id come in the order of their hashes; a null doc_id comes after all others; an empty table
+gives an empty result.  What stays is cut at bytes, so it need not be valid
 UTF-8: it is returned as binary.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sphereframe.llm import repeats as R
-from sphereframe.llm.common import table
+from sphereframe.llm.common import materialize, table
 from sphereframe.llm.minhash import mix
 
 WINDOW, K = 100, 16
@@ -131,8 +132,8 @@ def equal_next(order: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def later_windows(parts: list[bytes], d: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(d, at) of the windows of the parts that also start at an earlier place, a part's at being that of its first."""
+def later_windows(parts: list[bytes], d: np.ndarray, h: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """(d, h, at) of the windows of the parts that also start at an earlier place, a part's at being that of its first."""
     t = np.frombuffer(b"".join(parts), np.uint8)
     sizes = np.array([len(p) for p in parts])
     begin = np.r_[0, np.cumsum(sizes)[:-1]]
@@ -143,40 +144,42 @@ def later_windows(parts: list[bytes], d: np.ndarray, at: np.ndarray, window: int
     same = equal_next(order, words, window)
     busy = np.r_[False, same] | np.r_[same, False]
     order, group = order[busy], np.cumsum(~np.r_[False, same])[busy]
-    own_d, own_at = d[part[order]], (at[part[order]] & ~np.int64(0xFF)) + ((order - begin[part[order]]) << 8) + 1
-    late = R._later([group], own_d, own_at, True)
-    return own_d[late], own_at[late]
+    own_d, own_h, own_at = d[part[order]], h[part[order]], (at[part[order]] & ~np.int64(0xFF)) + ((order - begin[part[order]]) << 8) + 1
+    late = R.later([group], [own_d, own_h, own_at], True)
+    return own_d[late], own_h[late], own_at[late]
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs: d, doc_id, text.  (d, at) of the windows that also start earlier."""
-    found = R.checkpointed(R.scan(docs, _reader, window, K, within=True))
-    open_ = R.checkpointed(docs.select("d", "text").join(R.by_document(found.where("not covered and crowd <= %d" % CROWD), "open"), "d").mapInArrow(_context(window), "mini bigint, d bigint, at bigint, bytes binary"))
-    crowded = docs.select("d", "text").join(R.by_document(found.where("not covered and crowd > %d" % CROWD), "open"), "d")
+    """docs: d, h, text.  (d, h, at) of the windows that also start earlier."""
+    found = materialize(R.scan(docs, _reader, window, K, within=True))
+    texts = docs.select("d", "h", "text")
+    open_ = materialize(texts.join(R.by_document(found.where(f"not covered and crowd <= {CROWD}"), "open"), ["d", "h"]).mapInArrow(_context(window), "mini bigint, d bigint, h bigint, at bigint, bytes binary"))
+    crowded = texts.join(R.by_document(found.where(f"not covered and crowd > {CROWD}"), "open"), ["d", "h"])
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by minimizer; a block ends where a new one begins and it is full."""
-        parts, d, at, size, last = [], [], [], 0, None
+        parts, d, h, at, size, last = [], [], [], [], 0, None
 
         def done() -> pa.RecordBatch:
-            a, b = later_windows(parts, np.array(d, np.int64), np.array(at, np.int64), window)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["d", "at"])
+            out = later_windows(parts, *(np.array(x, np.int64) for x in (d, h, at)), window)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["d", "h", "at"])
 
         for b in batches:
-            for m, i, a, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for m, i, j, a, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if m != last and size >= BLOCK:
                     yield done()
-                    parts, d, at, size = [], [], [], 0
+                    parts, d, h, at, size = [], [], [], [], 0
                 parts.append(x)
                 d.append(i)
+                h.append(j)
                 at.append(a)
                 size, last = size + len(x), m
         if parts:
             yield done()
 
-    blocks = open_.repartition("mini").sortWithinPartitions("mini").mapInArrow(block, "d bigint, at bigint")
-    hashed = crowded.select("d", "text", "open").mapInArrow(_edges(window), R.SPREAD)
-    return found.where("covered").select("d", "at").unionByName(R.checkpointed(blocks)).unionByName(R.checkpointed(R.settle(hashed, within=True)))
+    blocks = open_.repartition("mini").sortWithinPartitions("mini").mapInArrow(block, "d bigint, h bigint, at bigint")
+    hashed = crowded.select("d", "h", "text", "open").mapInArrow(_edges(window), R.SPREAD)
+    return found.where("covered").select("d", "h", "at").unionByName(materialize(blocks)).unionByName(materialize(R.settle(hashed, within=True)))
 
 
 def _context(window: int):
@@ -184,17 +187,14 @@ def _context(window: int):
         of = _reader()
         for b in batches:
             rows: list[tuple] = []
-            for d, x, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            for d, h, x, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 raw, u = of(x.as_py())
-                bits = R.text_bits(raw)
-                start, n = R.unpack(at.values.to_numpy(), bits)
-                if not len(start) or len(u) < window:
-                    continue
+                start, n = R.unpack(at.values.to_numpy())
                 _, first, _, mini, _ = R.pieces(u, window, K)
                 own = mini[np.searchsorted(first, start, side="right") - 1].view(np.int64)
-                rows += [(m, d, (bits << 40) + (s << 8) + k, raw[s : s + k - 1 + window]) for m, s, k in zip(own.tolist(), start.tolist(), n.tolist(), strict=True)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["mini", "d", "at", "bytes"])
+                rows += [(m, d, h, (s << 8) + k, raw[s : s + k - 1 + window]) for m, s, k in zip(own.tolist(), start.tolist(), n.tolist(), strict=True)]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.binary()), strict=True)], ["mini", "d", "h", "at", "bytes"])
 
     return context
 
@@ -207,16 +207,13 @@ def _edges(window: int):
             return R.spread(held, True)
 
         for b in batches:
-            for d, x, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                raw, u = of(x.as_py())
-                bits = R.text_bits(raw)
-                start, n = R.unpack(at.values.to_numpy(), bits)
-                if not len(start) or len(u) < window:
-                    continue
+            for d, h, x, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                _, u = of(x.as_py())
+                start, n = R.unpack(at.values.to_numpy())
                 spans, first, _, mini, _ = R.pieces(u, window, K)
                 own = mini[np.searchsorted(first, start, side="right") - 1]
                 places = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                held.append((spans.of(places, window), np.repeat(own, n), np.full(len(places), d, np.int64), (bits << 40) + (places << 8) + 1))
+                held.append((spans.of(places, window), np.repeat(own, n), np.full(len(places), d, np.int64), np.full(len(places), h, np.int64), (places << 8) + 1))
                 n_held += len(places)
                 if n_held >= R.HOLD:
                     yield done()
@@ -239,7 +236,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 raw = x.as_py().encode("utf-8", "replace")
                 kept, n_spans = raw, 0
                 if at.is_valid and len(raw) >= window:
-                    off = R.mark(len(raw), window, *R.unpack(at.values.to_numpy(), R.text_bits(raw)))
+                    off = R.mark(len(raw), window, *R.unpack(at.values.to_numpy()))
                     kept = np.frombuffer(raw, np.uint8)[~off].tobytes()
                     n_spans = int((off & ~np.r_[False, off[:-1]]).sum())
                 for col, v in zip(out, (len(raw), len(raw) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), kept), strict=True):
@@ -248,10 +245,15 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.join(gone, "d", "left").select("doc_id", "text", "gone").mapInArrow(cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return rows.join(gone, ["d", "h"], "left").select("doc_id", "text", "gone").mapInArrow(cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each whole text of documents (doc_id a number) repeats from an earlier place, in strings of 100 bytes.
+
+    Null and empty texts have no bytes; very long texts are read whole; repeated rows get equal results; an empty table
+    gives no rows.  Only doc_id and text are read, so other columns cannot clash.
+    """
     return suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
 
