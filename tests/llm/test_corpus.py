@@ -158,12 +158,27 @@ def test_op2_learns_and_repeats(spark, docs, data):
     got = result(spark, "op2_quality_classifier", data)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(600, len(quality.FEATURES)))
+    x = rng.normal(size=(600, quality.N_FEATURES))
     good = x[:, 0] - 2 * x[:, 3] + rng.normal(size=600) * 0.3 > 0
-    held = quality.Ranker(x[:400], good[:400]).score(x[400:])
+    held = quality.Ranker(x[:400, :14], good[:400]).score(x[400:, :14])
     assert ((held >= 0.5) == good[400:]).mean() > 0.9
 
 
+def test_op2_held_out_ranking(spark, tmp_path):
+    """Words alone tell the labels apart, in two scripts; held-out documents are ranked rightly."""
+    rng = random.Random(2)
+    kinds = [(["river", "stone", "garden", "winter"], ["click", "winner", "bonus", "casino"]), (["река", "камень", "сад", "зима"], ["клик", "приз", "бонус", "казино"])]
+    rows = [(i, " ".join(rng.choice(kinds[i % 2][rng.random() < (0.2 if i % 4 < 2 else 0.8)]) for _ in range(60)), int(i % 4 < 2)) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    df.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    df.select("doc_id", "quality", F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in QUERIES["op2_quality_classifier"](spark, str(tmp_path)).collect() if r.held_out}
+    for script in (0, 1):
+        good, bad = ([got[i].score for i, _, y in rows if i in got and i % 2 == script and y == q] for q in (1, 0))
+        assert np.mean([g > b for g in good for b in bad]) > 0.95
+    assert np.mean([got[i].predicted == y for i, _, y in rows if i in got]) > 0.9
+
+
 def test_op3_brute_force(spark, docs, data):
     first = {}
     for i, t in docs:
