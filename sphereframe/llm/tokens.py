@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from sphereframe.llm.common import table
 
 FREQUENT, SUMMARY, MERGERS = 16_384, 8_192, 16
+#: Summaries that a task of the tree merges.
+FAN = 64
 #: Entries of a worker's cache, and the longest pre-token that it holds.
 CACHE, CACHE_CHARS = 400_000, 64
 LIMIT = 1024
@@ -123,9 +125,12 @@ def frequent_pretokens(texts: DataFrame) -> list[str]:
 
     The choice decides speed only: any table gives the same token counts.
     """
-    merged = texts.mapInArrow(_summarise, _SUMMARY).repartition(MERGERS).mapInArrow(_merge, _SUMMARY)
+    merged, n = texts.mapInArrow(_summarise, _SUMMARY), texts.rdd.getNumPartitions()
+    while n > MERGERS:
+        n = max(MERGERS, -(-n // FAN))
+        merged = merged.repartition(n).mapInArrow(_merge, _SUMMARY)
     counts: Counter = Counter()
-    for r in merged.collect():  # MERGERS rows of SUMMARY entries
+    for r in merged.collect():  # at most MERGERS rows of SUMMARY entries
         for t, k in zip(r.tokens, r.counts, strict=True):
             counts[t] += k
     return [t for t, _ in _top(counts, FREQUENT)]
@@ -149,4 +154,9 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole text of documents.
+
+    Null and empty texts have none; very long texts are counted whole; repeated rows are counted one by one; an empty table
+    gives no rows.  Only doc_id and text are read, so other columns cannot clash.
+    """
     return token_counts(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))

@@ -535,6 +535,37 @@ def test_stages_delete_rows_not_ids(spark, docs, data):
     assert Counter(map(tuple, decontam.stage(spark, df, data).collect())) == Counter(rows) - Counter([(None, leak)])
 
 
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_very_long_texts(spark, tmp_path, name):
+    """A text of 120,000 words beside its copy, a part of it, and short ones."""
+    rng = random.Random(4)
+    vocab = [f"{a}{b}" for a in "bcdfgl" for b in ("ana", "iro", "ul", "este", "om", "ai")]
+    words = [rng.choice(vocab) + rng.choice(("", "n", "ter", "s")) for _ in range(120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (4, " ".join(words[500:900])), (5, "short"), (7, "\n".join(w + "z" for w in words))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit("x") for c in ("lang", "source")}).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (5, 0, 0), (7, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(words[100_000:100_040]))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = QUERIES[name](spark, str(tmp_path)).collect()
+    by = {r.doc_id: r for r in got}
+    if name == "op1_decontamination":
+        assert {(r.doc_id, r.item_id, r.n_equal) for r in got} == {(1, 1, 13), (2, 1, 13)}
+        return
+    assert set(by) == {1, 2, 4, 5, 7}
+    if name == "op3_substring_dedup":
+        assert (by[1].n_removed, by[2].n_removed, by[4].n_removed, by[2].n_words) == (0, 120_000, 400, 120_000)
+    if name == "op8_minhash_near_dedup":
+        assert by[2].component_id == 1 and by[7].component_id == 7
+
+
+def test_stages_keep_columns_with_any_names(spark, docs, data):
+    names = ["_q_t", "_q_n_words", "_f_lang", "_f_symbol_ratio_low", "_salt", "_row", "_own", "_leak", "_redacted", "_kept", "component_id", "stays", "t", "d", "node"]
+    df = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, data)
+        assert out.columns == df.columns, name
+        assert out.where(" OR ".join(f"`{c}` != {i}" for i, c in enumerate(names))).isEmpty() and not out.isEmpty(), name
+
+
 def test_pipeline(spark, docs, data, odd, empty):
     df = spark.read.parquet(f"{data}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
