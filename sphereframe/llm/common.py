@@ -36,6 +36,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids up to this many (some 24 bytes each) are broadcast; beyond it they are joined by a shuffle.
+FEW = 2_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """ids, stored, and marked for a broadcast only after their count."""
+    ids = materialize(ids)
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every scratch table that this application has written."""
     jvm, root = spark.sparkContext._jvm, f"{scratch_root(spark)}/sphereframe/{spark.sparkContext.applicationId}"

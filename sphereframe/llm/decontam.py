@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sphereframe.llm.common import ascii_lower, fresh, let, table
+from sphereframe.llm.common import ascii_lower, few, fresh, let, table
 
 #: Selected places of items of LONG_ITEM tokens and more, and of shorter ones; the first place is always 0.
 LONG = ((0, 1, 2, 3, 5, 6), (0, 1, 4, 5, 6, 7), (0, 1, 3, 4, 7, 8), (0, 1, 2, 3, 5, 7), (0, 2, 4, 5, 6, 7))
@@ -103,7 +103,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own, leak = fresh(docs, "_own"), fresh(docs, "_leak")
     rows = docs.withColumn(own, F.struct(F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "text", "doc_id")))
     bad = overlaps(rows.select(F.col(own).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")).select(F.col("doc_id").alias(leak)).distinct()
-    return rows.join(bad, rows[own] == F.col(leak), "left_anti").drop(own)
+    return rows.join(few(bad), rows[own] == F.col(leak), "left_anti").drop(own)
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sphereframe.llm.common import NULL_ID, fresh, materialize, table
+from sphereframe.llm.common import NULL_ID, few, fresh, materialize, table
 from sphereframe.llm.graph import components
 from sphereframe.llm.tokens import Cache
 
@@ -133,7 +133,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(on, pa.int64())), _lists([sets[i] for i in on])], ["node", "shingles"])
 
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    found = docs.select(ids.alias("d"), "text").join(nodes, "d").select("text", "node")
+    found = docs.select(ids.alias("d"), "text").join(few(nodes), "d").select("text", "node")
     return found.mapInArrow(take, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
 
 
@@ -266,9 +266,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = near_duplicates(rows.select(F.col(own).alias("doc_id"), "text"), 5).select("doc_id", "component_id")
     ids = rows.select(F.col(own).alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"))
     groups = materialize(groups.join(ids, "doc_id"))
-    several = groups.where("doc_id != component_id")
-    first = groups.join(several.select("component_id").distinct(), "component_id").groupBy("component_id").agg(F.min(F.struct("d", "doc_id"))["doc_id"].alias("stays"))
-    gone = groups.join(first, "component_id").where("doc_id != stays").select(F.col("doc_id").alias(own))
+    stays = groups.groupBy("component_id").agg(F.min(F.struct("d", "doc_id"))["doc_id"].alias("stays")).select("stays")
+    gone = few(groups.select("doc_id").join(stays, F.col("doc_id") == F.col("stays"), "left_anti").select(F.col("doc_id").alias(own)))
     return rows.join(gone, own, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
