@@ -2,12 +2,14 @@
 
 A candidate is any run of LEAST key characters or more, dots within it included, whatever letters or digits it has; what
 the base rules find is a candidate like any other.  The network sees each whole, in windows of INSIDE characters with SIDE
-characters of text on each side, and takes the largest score.  It is trained on labelled findings: candidates of the
-corpus, labelled by the base rules (of about DOCUMENTS documents; at most SAMPLE of either label), and generated
-keys of public formats and strings that only look like them, put in the same contexts.  Documents are dealt to training,
+characters of text on each side, and takes the largest score.  It is trained on labelled findings: every distinct window of the
+corpus, labelled by the base rules, and generated keys of public formats and strings that only look like them, one in
+the context of each of these windows and GENERATED of either kind besides.  Documents are dealt to training,
 calibration and a test by a hash of their text, and formats to training and to the other two, so calibration sees neither.
-Scores are calibrated by Platt scaling; the threshold is the highest that still finds RECALL of the calibration's
-secrets, those that are no candidates counted as missed.  Network.report has recall and precision on the test part.
+Shards of about SHARD windows are trained on in parallel, from what the first one gave, and their weights averaged.
+Scores are calibrated by Platt scaling over all of the calibration part; the threshold is the highest that still finds
+RECALL of its secrets, those that are no candidates counted as missed.  Network.report has recall and precision on the
+test part.
 
 Defined results: a null or empty text has no spans; a very long text is scanned whole; a repeated row gets its copy's
 result; of base spans of one start the kind as listed comes first; an empty table gives an empty result.  The network
@@ -26,12 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sphereframe.llm.common import fresh, table
+from sphereframe.llm.common import fresh, materialize, table
 
 KINDS = ("assign", "access", "hex", "network")
 LEAST, INSIDE, SIDE = 12, 48, 16
-DOCUMENTS = 40_000
-SAMPLE, GENERATED, RECALL, SEED = 4_000, 3_000, 0.99, 5
+GENERATED, RECALL, SEED = 3_000, 0.99, 5
+#: Windows of a shard; those that the first shard is trained on, all epochs together; rounds over all shards after it.
+SHARD, WARM, ROUNDS = 50_000, 100_000, 2
+#: Ranges of scores that are counted at a time.
+BINS = 1_000
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
@@ -125,7 +130,7 @@ class Network:
         """x as of cut."""
         return np.concatenate([self._forward(encode(x[i : i + 256]))[-1] for i in range(0, len(x), 256)]) if len(x) else np.zeros(0, np.float32)
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 12) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, rate: float = 0.004) -> None:
         rng, m, s, t = np.random.default_rng(SEED), [0 * p for p in self.p], [0 * p for p in self.p], 0
         for _ in range(epochs):
             order = rng.permutation(len(x))
@@ -145,27 +150,7 @@ class Network:
                 for j, g in enumerate(grads):
                     m[j] = 0.9 * m[j] + 0.1 * g
                     s[j] = 0.999 * s[j] + 0.001 * g * g
-                    self.p[j] = (self.p[j] - 0.004 * (m[j] / (1 - 0.9**t)) / (np.sqrt(s[j] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-
-    def calibrate(self, x: np.ndarray, y: np.ndarray, missed: int = 0) -> None:
-        """Platt scaling by Newton's method, then the highest threshold that keeps the recall; missed secrets are no candidates."""
-        z = self.logits(x).astype(float)
-        if not len(z) or y.all() or not y.any():
-            return
-        y = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))  # Platt's targets: no part is certain
-        design, w = np.stack([z, np.ones_like(z)], 1), np.array([1.0, 0.0])
-        for _ in range(20):
-            p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-            w -= np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2), design.T @ (p - y) + 1e-3 * (w - [1, 0]))
-        self.slope, self.bias = map(float, w)
-        found = np.sort(self.probability(z[y > 0.5]))[::-1]
-        need = int(np.ceil(RECALL * (len(found) + missed)))
-        self.threshold = float(found[min(need, len(found)) - 1])
-
-    def measure(self, x: np.ndarray, y: np.ndarray, missed: int = 0) -> None:
-        said = self.probability(self.logits(x).astype(float)) >= self.threshold
-        hit, all_ = int((said & (y > 0)).sum()), int((y > 0).sum()) + missed
-        self.report = {"secrets": all_, "recall": hit / max(1, all_), "precision": hit / max(1, int(said.sum())), "others": int((y == 0).sum()), "others_said": int((said & (y == 0)).sum())}
+                    self.p[j] = (self.p[j] - rate * (m[j] / (1 - 0.9**t)) / (np.sqrt(s[j] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
 
     def probability(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.bias, -30, 30)))
@@ -182,7 +167,7 @@ class Network:
                 pieces += len(rows[-1])
         out: list[list[tuple[int, int]]] = [[] for _ in texts]
         if pieces and self.threshold <= 1:
-            hits = np.flatnonzero(self.probability(self.logits(np.concatenate(rows))) >= self.threshold)
+            hits = np.flatnonzero(self.probability(self.logits(np.concatenate(rows)).astype(float)) >= self.threshold)
             for i, k in sorted({owner[j] for j in hits.tolist()}):
                 out[i].append(spans[i][k])
         return out
@@ -251,48 +236,159 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.bool_(), pa.int32()), strict=True)], ["piece", "secret", "part"])
 
 
-def fit(docs: DataFrame, text: str) -> Network:
-    """Trained on candidates of about DOCUMENTS documents, chosen by a hash of their text; at most SAMPLE distinct windows of
-    either label, and as many as GENERATED strings of either kind.
+LABELLED = "piece binary, secret boolean, part int"
+#: at deals the rows to shards: a generated string goes where its context goes.
+EXAMPLE = f"{LABELLED}, at bigint"
+_KINDS_OF = (pa.binary(), pa.bool_(), pa.int32(), pa.int64())
 
-    Parts 0 to 2 train, 3 calibrates, 4 is the test.
-    """
+
+def _plain() -> tuple[np.ndarray, np.ndarray]:
+    """Sides of plain words."""
+    plain = codes("".join(np.random.default_rng(SEED).choice(list("aeinorst  "), 2 * SIDE)))
+    plain[SIDE - 1] = plain[SIDE] = _CODE[32]
+    return plain[:SIDE], plain[SIDE:]
+
+
+def _generated(rng: np.random.Generator, secret: bool, part: int, at: int, left: np.ndarray, right: np.ndarray) -> list[tuple]:
+    """A string's windows between these codes; a key without candidates gives a row without a window."""
+    seen, count = (UNSEEN_KEY, len(KEYS)) if secret else (UNSEEN_OTHER, OTHERS)
+    string = (_key if secret else _other)(rng, int(rng.integers(0, seen) if part < 3 else rng.integers(seen, count)))
+    code, found = np.concatenate([left, codes(string), right]), candidates(string)
+    if not found and secret:
+        return [(None, True, part, at)]
+    return [(c.tobytes(), secret, part, at) for s, e in found for c in cut(code, windows(SIDE + s, SIDE + e))]
+
+
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window, and one generated string in its place or, of three, in plain words."""
+    plain = _plain()
+    for b in batches:
+        rows = []
+        for piece, secret, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            place, at = np.frombuffer(piece, np.uint8), xxhash.xxh3_64_intdigest(piece, part) >> 1
+            rng = np.random.default_rng([SEED, at])
+            kind = int(rng.integers(6))
+            sides = plain if kind < 2 else (place[:SIDE], place[SIDE + int(place[-1]) :][:SIDE])
+            rows += [(piece, secret, part, at), *_generated(rng, kind % 2 == 0, part, at, *sides)]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS_OF, strict=True)], ["piece", "secret", "part", "at"])
+
+
+def examples(docs: DataFrame, text: str) -> DataFrame:
+    """piece, secret, part, at: every distinct window of each part, and the generated ones; stored."""
     texts = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    share = min(1.0, DOCUMENTS / max(1, docs.count()))
-    chosen = texts.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    seen = chosen.mapInArrow(_label, "piece binary, secret boolean, part int").groupBy("piece", "part").agg(F.max("secret").alias("secret"))
-    ranked = seen.withColumn("h", F.xxhash64("piece")).orderBy("h", "piece", "part")
-    rows = [r for of in ("secret", "not secret") for r in ranked.where(of).limit(SAMPLE).collect()]
-    rng = np.random.default_rng(SEED)
-    x = [np.frombuffer(r.piece, np.uint8) for r in rows]
-    y, part = [r.secret for r in rows], [r.part for r in rows]
-    places = x or [np.zeros(_WIDTH + 1, np.uint8)]
-    plain = codes("".join(rng.choice(list("aeinorst  "), 4 * SIDE)))
-    missed = {3: 0, 4: 0}
+    seen = texts.mapInArrow(_label, LABELLED).groupBy("piece", "part").agg(F.max("secret").alias("secret")).select("piece", "secret", "part")
+    rng, plain, none, apart = np.random.default_rng(SEED), _plain(), (np.zeros(SIDE, np.uint8),) * 2, []
     for i in range(2 * GENERATED):
-        secret, own = i % 2 == 0, i // 2 % 5
-        seen_, count = (UNSEEN_KEY, len(KEYS)) if secret else (UNSEEN_OTHER, OTHERS)
-        string = (_key if secret else _other)(rng, int(rng.integers(0, seen_) if own < 3 else rng.integers(seen_, count)))
-        place = places[int(rng.integers(len(places)))]
-        if i % 3 == 0:  # in plain words
-            left, right = plain[:SIDE].copy(), plain[SIDE : 2 * SIDE].copy()
-            left[-1] = right[0] = _CODE[32]
-        else:
-            left, right = place[:SIDE], place[SIDE + int(place[-1]) :][:SIDE]
-        code = np.concatenate([left, codes(string), right])
-        found = candidates(string)
-        if secret and not found and own in missed:
-            missed[own] += 1
-        for s, e in found:
-            for w in windows(SIDE + s, SIDE + e):
-                x.append(cut(code, [w])[0])
-                y.append(secret)
-                part.append(own)
-    x, y, part = np.array(x), np.array(y, np.float32), np.array(part)
-    network = Network()
-    network.train(x[part < 3], y[part < 3])
-    network.calibrate(x[part == 3], y[part == 3], missed[3])
-    network.measure(x[part == 4], y[part == 4], missed[4])
+        apart += _generated(rng, i % 2 == 0, i // 2 % 5, i, *(plain if i % 3 else none))
+    generated = docs.sparkSession.createDataFrame([(p and bytearray(p), *r) for p, *r in apart], EXAMPLE)
+    return materialize(seen.mapInArrow(_examples, EXAMPLE).unionByName(generated))
+
+
+def _pieces(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, _WIDTH + 1)
+
+
+def _average(rows: DataFrame, network: Network, epochs: int, rate: float) -> None:
+    """rows: shard, at, piece, secret.  The network goes on over each shard by itself; its weights become their average."""
+    shapes = [p.shape for p in network.p]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n, held, shard = 0.0, 0, [], None
+
+        def done() -> None:
+            nonlocal total, n, held
+            own, x = Network(), np.concatenate([a for a, _ in held])
+            own.p = [p.copy() for p in network.p]
+            own.train(x, np.concatenate([b for _, b in held]).astype(np.float32), epochs, rate)
+            total, n, held = total + len(x) * np.concatenate([p.ravel() for p in own.p]).astype(float), n + len(x), []
+
+        for b in batches:
+            shards, x, y = b.column(0).to_numpy(), _pieces(b.column(2)), b.column(3).to_numpy(zero_copy_only=False)
+            for part in np.split(np.arange(len(x)), np.flatnonzero(np.diff(shards)) + 1):
+                if len(part):
+                    if held and shards[part[0]] != shard:
+                        done()
+                    held.append((x[part], y[part]))
+                    shard = shards[part[0]]
+        if held:
+            done()
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "total"])
+
+    dealt = rows.repartition("shard").sortWithinPartitions("shard", "at", "piece", "secret").mapInArrow(run, "n bigint, total binary").collect()
+    flat = sum(np.frombuffer(r.total, float) for r in dealt) / sum(r.n for r in dealt)
+    ends = np.cumsum([int(np.prod(s)) for s in shapes])
+    network.p = [p.reshape(s).astype(np.float32) for p, s in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
+
+
+def _scored(rows: DataFrame, network: Network) -> DataFrame:
+    """part, secret, z: the logits, null for a key without candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            there = np.flatnonzero(b.column(0).is_valid().to_numpy(zero_copy_only=False))
+            z = np.full(len(b), np.nan, np.float32)
+            z[there] = network.logits(_pieces(b.column(0).take(pa.array(there))))
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(1), pa.array(z, pa.float32(), from_pandas=True)], ["part", "secret", "z"])
+
+    return rows.mapInArrow(run, "part int, secret boolean, z float")
+
+
+def _platt(scored: DataFrame, secrets: int, others: int) -> tuple[float, float]:
+    """Slope and bias by Newton's method over all rows, with Platt's targets: no part is certain."""
+    z, w = F.col("z").cast("double"), np.array([1.0, 0.0])
+    y = F.when(F.col("secret"), (secrets + 1) / (secrets + 2)).otherwise(1 / (others + 2))
+    for _ in range(20):
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z * float(w[0]) + float(w[1])))))
+        sums = scored.select((p * (1 - p)).alias("v"), (p - y).alias("e"), z.alias("z")).agg(*map(F.sum, (F.col("v") * F.col("z") * F.col("z"), F.col("v") * F.col("z"), F.col("v"), F.col("e") * F.col("z"), F.col("e")))).first()
+        step = np.linalg.solve(np.array([[sums[0], sums[1]], [sums[1], sums[2]]]) + 1e-3 * np.eye(2), np.array([sums[3], sums[4]]) + 1e-3 * (w - [1, 0]))
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(w[0]), float(w[1])
+
+
+def _greatest(z: DataFrame, k: int) -> float:
+    """The k-th greatest of z, by counts over ever narrower ranges, each dealt to BINS; no more than those are collected."""
+    low, high = z.agg(F.min("z"), F.max("z")).first()
+    while True:
+        wide = (high - low) / BINS
+        place = F.least(F.floor((F.col("z") - low) / wide), F.lit(BINS - 1)) if wide > 0 else F.lit(0)
+        bins = z.where(F.col("z").between(low, high)).groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min("z").alias("low"), F.max("z").alias("high")).orderBy(F.desc("b")).collect()
+        for r in bins:
+            if k <= r.n:
+                break
+            k -= r.n
+        if r.low == r.high:
+            return float(r.low)
+        low, high = r.low, r.high
+
+
+def fit(docs: DataFrame, text: str) -> Network:
+    """Trained on parts 0 to 2 of all examples; 3 calibrates, 4 is the test."""
+    rows, network = examples(docs, text), Network()
+    learnt = rows.where("part < 3 and piece is not null")
+    trained = learnt.count()
+    shards = -(-trained // SHARD)
+    learnt = learnt.select(F.pmod("at", F.lit(shards)).alias("shard"), "at", "piece", "secret")
+    first = learnt.where("shard = 0")
+    _average(first, network, -(-WARM // max(1, first.count())), 0.004)
+    for i in range(ROUNDS if shards > 1 else 0):
+        _average(learnt, network, 1, 0.002 / (i + 1))
+    scored = materialize(_scored(rows.where("part >= 3"), network))
+    n = {(r.part, r.secret): (r.n, r.missed) for r in scored.groupBy("part", "secret").agg(F.count("z").alias("n"), F.sum(F.col("z").isNull().cast("long")).alias("missed")).collect()}
+    (secrets, missed), (others, _) = n[3, True], n[3, False]
+    own = scored.where("part = 3 and z is not null")
+    network.slope, network.bias = _platt(own, secrets, others)
+    rank = min(int(np.ceil(RECALL * (secrets + missed))), secrets)
+    sign = 1.0 if network.slope >= 0 else -1.0
+    z = sign * _greatest(own.where("secret").select((F.col("z") * sign).cast("double").alias("z")), rank)
+    network.threshold = float(network.probability(np.array([z]))[0])
+    said = F.col("z") * sign >= F.lit(z * sign)
+    hits = {r.secret: r.n for r in scored.where("part = 4 and z is not null").where(said).groupBy("secret").agg(F.count("*").alias("n")).collect()}
+    hit, wrong, all_ = hits.get(True, 0), hits.get(False, 0), sum(n[4, True])
+    network.report = {"trained": trained, "calibrated": secrets + missed + others, "secrets": all_, "recall": hit / max(1, all_), "precision": hit / max(1, hit + wrong), "others": n[4, False][0], "others_said": wrong}
     return network
 
 

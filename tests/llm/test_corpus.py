@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -497,6 +498,22 @@ def test_op10_network_on_formats_it_has_not_seen(network):
     assert network.report["secrets"] > 400 and network.report["recall"] >= 0.95 and network.report["precision"] >= 0.95, network.report
 
 
+def test_op10_network_learns_from_every_window(spark):
+    """More distinct windows than a sample would hold, none of them left out of training, calibration or test."""
+    letters = ["a", "n", "c", "j", "A", "N", "C", "J", "1", "+"]  # of ten classes, so that unlike strings are unlike windows
+    texts = [f"see {''.join(letters[int(c)] for c in str(i))}aaaaaaaa here" for i in range(10_000, 30_000)]
+    parts = [xxhash.xxh3_64_intdigest(t.encode()) % 5 for t in texts]
+    report = secrets.fit(spark.createDataFrame([(t,) for t in texts], "text string"), "text").report
+    assert report["trained"] > sum(p < 3 for p in parts) and report["calibrated"] > parts.count(3) and report["others"] > parts.count(4) > 3_500, report
+
+
+def test_op10_kth_greatest(spark):
+    z = np.r_[np.random.default_rng(1).normal(0, 1e6, 3000), [-3.0, -3.0, 1e-30, 2e-30, 7e20]].astype(np.float32).astype(float).tolist()
+    rows = spark.createDataFrame([(x,) for x in z], "z double")
+    for k in (1, 2, 1500, len(z)):
+        assert secrets._greatest(rows, k) == sorted(z, reverse=True)[k - 1]
+
+
 def test_op10_network_decides(network):
     rng = np.random.default_rng(77)
     keys = [secrets._key(rng, i % len(secrets.KEYS)) for i in range(560)]
