@@ -28,11 +28,25 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage by a Parquet table in the shared folder; it survives the loss of any executor."""
+#: Spark deletes a query's shuffle files when it ends, not when the driver's garbage happens to be collected.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, release: bool = False) -> DataFrame:
+    """Cut lineage by a Parquet table in the shared folder; it survives the loss of any executor.
+
+    With release the shuffle files behind it go as soon as it is written.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/sphereframe/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(RELEASE, None)
+    if release:
+        spark.conf.set(RELEASE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if release:
+            spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

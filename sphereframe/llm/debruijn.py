@@ -41,7 +41,7 @@ def _reader():
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs: d, h, text.  (d, h, at) of the windows that also start in a document of smaller d."""
-    found = materialize(R.scan(docs, _reader, window, K, within=False))
+    found = materialize(R.scan(docs, _reader, window, K, within=False).drop("go"))
     open_ = docs.select("d", "h", "text").join(R.by_document(found.where("not covered"), "open"), ["d", "h"])
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

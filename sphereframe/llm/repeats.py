@@ -53,26 +53,30 @@ class Hashes:
     def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return mix((self.sums[start + length] - self.sums[start]) * Powers.up[start] + np.asarray(length).astype(np.uint64))
 
+    def grams(self, k: int) -> np.ndarray:
+        """Of every span of k units, as of."""
+        return mix((self.sums[k:] - self.sums[:-k]) * Powers.up[: len(self.sums) - k] + _U(k))
 
-def least_places(h: np.ndarray, w: int) -> np.ndarray:
-    """For each run of w values of h, the place of the leftmost least one."""
-    n, span, at = len(h) - w + 1, 1, np.arange(len(h))
+
+def least(h: np.ndarray, w: int) -> np.ndarray:
+    """For each run of w values of h, the least one."""
+    span = 1
     while span < w:
         step = min(span, w - span)
-        a, b = at[: len(at) - step], at[step:]
-        at = np.where(h[a] <= h[b], a, b)
+        h = np.minimum(h[:-step], h[step:])
         span += step
-    return at[:n]
+    return h
 
 
 def pieces(units: np.ndarray, window: int, k: int) -> tuple[Hashes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The hashes, and for each piece its first window, number of windows, minimizer and body hash."""
     spans = Hashes(units)
-    grams = spans.of(np.arange(len(units) - k + 1), k)
-    at = least_places(grams, window - k + 1)
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    n = np.diff(np.r_[first, len(at)])
-    return spans, first, n, grams[at[first]], spans.of(first, n + window - 1)
+    grams = spans.grams(k)
+    mini = least(grams, window - k + 1)
+    # the leftmost least gram changes where it starts its window, or where a lesser one comes in
+    first = np.flatnonzero(np.r_[True, (mini[1:] != mini[:-1]) | (grams[: len(mini) - 1] == mini[:-1])])
+    n = np.diff(np.r_[first, len(mini)])
+    return spans, first, n, mini[first], spans.of(first, n + window - 1)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -118,9 +122,9 @@ def _covered(within: bool):
 
 
 def scan(rows: DataFrame, units: Callable, window: int, k: int, within: bool) -> DataFrame:
-    """rows: d, h, text.  The pieces under minimizers that several places have: d, h, at, covered, crowd.
+    """rows: d, h, text.  The pieces under minimizers that several places have: d, h, at, covered, crowd, go.
 
-    units gives a function from a text to its bytes and its 64-bit units; it is called once a task.
+    go names the minimizer of a piece that is not covered.  units gives a function from a text to its bytes and its 64-bit units; it is called once a task.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +148,7 @@ def scan(rows: DataFrame, units: Callable, window: int, k: int, within: bool) ->
     one = Window.partitionBy("go")
     out = rows.select("d", "h", "text").mapInArrow(extract, SPREAD).withColumn("covered", covered)
     out = out.withColumn("crowd", F.count(F.lit(1)).over(one)).withColumn("several", F.min(place).over(one) < F.max(place).over(one))
-    return out.where("covered or several").select("d", "h", "at", "covered", "crowd")
+    return out.where("covered or several").select("d", "h", "at", "covered", "crowd", F.when(~F.col("covered"), F.col("go")).alias("go"))
 
 
 def settle(rows: DataFrame, within: bool) -> DataFrame:
@@ -152,9 +156,9 @@ def settle(rows: DataFrame, within: bool) -> DataFrame:
     return rows.withColumn("covered", _covered(within)[1]).where("covered").select("d", "h", "at")
 
 
-def by_document(rows: DataFrame, name: str) -> DataFrame:
-    """(d, h, set of at): as long as the document's own windows at most, however many equal rows there are."""
-    return rows.groupBy("d", "h").agg(F.collect_set("at").alias(name))
+def by_document(rows: DataFrame, name: str, value: str = "at") -> DataFrame:
+    """(d, h, set of value): as long as the document's own windows at most, however many equal rows there are."""
+    return rows.groupBy("d", "h").agg(F.collect_set(value).alias(name))
 
 
 def unpack(at) -> tuple[np.ndarray, np.ndarray]:

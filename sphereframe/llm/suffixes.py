@@ -50,8 +50,11 @@ def smaller_than_next(t: np.ndarray) -> np.ndarray:
     return step[np.minimum.accumulate(turn[::-1])[::-1]] > 0
 
 
-def two_stage_sort(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """All suffixes in the order of their first depth bytes at least, and the 8-byte words at each place."""
+def two_stage_sort(t: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes in the order of their first depth bytes at least, and the 8-byte words at each place.
+
+    Where wanted says which suffixes matter, of the others only those that induce them need be in the order.
+    """
     n = len(t)
     padded = np.r_[t, np.zeros(depth + 16, np.uint8)]
     words = np.zeros(n + depth + 8, np.uint64)
@@ -59,6 +62,9 @@ def two_stage_sort(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         words = (words << np.uint64(8)) | padded[i : i + len(words)]
     small = smaller_than_next(t)
     direct = np.flatnonzero(small)
+    if wanted is not None:  # a larger suffix is induced, through larger ones, from the next smaller one
+        source = np.searchsorted(direct, np.flatnonzero(wanted))
+        direct = direct[np.bincount(source, minlength=len(direct) + 1)[: len(direct)] > 0]
     direct = direct[np.argsort(words[direct], kind="stable")]
     tie = np.r_[False, words[direct][1:] == words[direct][:-1]]  # equal so far to the one before
     for at in range(8, depth, 8):
@@ -139,7 +145,7 @@ def later_windows(parts: list[bytes], d: np.ndarray, h: np.ndarray, at: np.ndarr
     begin = np.r_[0, np.cumsum(sizes)[:-1]]
     part = np.repeat(np.arange(len(parts)), sizes)
     valid = np.arange(len(t)) + window <= (begin + sizes)[part]
-    order, words = two_stage_sort(t, window)
+    order, words = two_stage_sort(t, window, valid)
     order = order[valid[order]]
     same = equal_next(order, words, window)
     busy = np.r_[False, same] | np.r_[same, False]
@@ -151,9 +157,10 @@ def later_windows(parts: list[bytes], d: np.ndarray, h: np.ndarray, at: np.ndarr
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs: d, h, text.  (d, h, at) of the windows that also start earlier."""
-    found = materialize(R.scan(docs, _reader, window, K, within=True))
+    found = materialize(R.scan(docs, _reader, window, K, within=True), release=True)
     texts = docs.select("d", "h", "text")
-    open_ = materialize(texts.join(R.by_document(found.where(f"not covered and crowd <= {CROWD}"), "open"), ["d", "h"]).mapInArrow(_context(window), "mini bigint, d bigint, h bigint, at bigint, bytes binary"))
+    few = found.where(f"not covered and crowd <= {CROWD}").withColumn("piece", F.struct("at", "go"))
+    open_ = materialize(texts.join(R.by_document(few, "open", "piece"), ["d", "h"]).mapInArrow(_context(window), "mini bigint, d bigint, h bigint, at bigint, bytes binary"), release=True)
     crowded = texts.join(R.by_document(found.where(f"not covered and crowd > {CROWD}"), "open"), ["d", "h"])
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,22 +186,19 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     blocks = open_.repartition("mini").sortWithinPartitions("mini").mapInArrow(block, "d bigint, h bigint, at bigint")
     hashed = crowded.select("d", "h", "text", "open").mapInArrow(_edges(window), R.SPREAD)
-    return found.where("covered").select("d", "h", "at").unionByName(materialize(blocks)).unionByName(materialize(R.settle(hashed, within=True)))
+    return found.where("covered").select("d", "h", "at").unionByName(materialize(blocks, release=True)).unionByName(materialize(R.settle(hashed, within=True), release=True))
 
 
 def _context(window: int):
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _reader()
         for b in batches:
-            rows: list[tuple] = []
-            for d, h, x, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                raw, u = of(x.as_py())
-                start, n = R.unpack(at.values.to_numpy())
-                _, first, _, mini, _ = R.pieces(u, window, K)
-                own = mini[np.searchsorted(first, start, side="right") - 1].view(np.int64)
-                rows += [(m, d, h, (s << 8) + k, raw[s : s + k - 1 + window]) for m, s, k in zip(own.tolist(), start.tolist(), n.tolist(), strict=True)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.binary()), strict=True)], ["mini", "d", "h", "at", "bytes"])
+            sets = b.column(3)
+            n, at, mini = sets.value_lengths().to_numpy(), *(c.to_numpy() for c in sets.flatten().flatten())
+            start, size = (at >> 8).tolist(), ((at & 0xFF) - 1 + window).tolist()
+            raw, ends = (x.as_py().encode("utf-8", "replace") for x in b.column(2)), np.cumsum(n).tolist()
+            parts = [x[s : s + k] for x, i, j in zip(raw, [0, *ends], ends) for s, k in zip(start[i:j], size[i:j], strict=True)]
+            d, h = (np.repeat(b.column(i).to_numpy(), n) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (mini, d, h, at)), pa.array(parts, pa.binary())], ["mini", "d", "h", "at", "bytes"])
 
     return context
 

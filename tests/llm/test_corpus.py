@@ -349,6 +349,44 @@ def test_two_stage_sort():
         assert sorted(order.tolist()) == list(range(len(t))) and cut == sorted(cut)
 
 
+def test_two_stage_sort_places_what_is_wanted_and_little_else():
+    rng = np.random.default_rng(3)
+    for letters in (2, 3, 256):
+        t = rng.integers(0, letters, 600).astype(np.uint8)
+        wanted = np.arange(600) % 160 < 60  # as of strings of 60 windows with 100 bytes after them
+        order, _ = suffixes.two_stage_sort(t, 100, wanted)
+        assert len(set(order.tolist())) == len(order) < 400
+        assert order[wanted[order]].tolist() == [i for i in sorted(range(600), key=lambda i: t[i:].tobytes()) if wanted[i]]
+
+
+def test_materialize_releases_shuffle_files(spark):
+    from pathlib import Path
+
+    from sphereframe.llm import common
+
+    def held():
+        return sum(f.stat().st_size for f in Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath()).rglob("shuffle_*.data"))
+
+    rows, setting = spark.range(200_000).repartition(3, "id"), spark.conf.get(common.RELEASE, None)
+    before = held()
+    assert common.materialize(rows, release=True).count() == 200_000
+    kept = held() - before
+    assert common.materialize(rows).count() == 200_000
+    assert held() - before - kept > 400_000 > kept and spark.conf.get(common.RELEASE, None) == setting
+
+
+def test_pieces_share_their_leftmost_least_gram():
+    rng = np.random.default_rng(4)
+    for n, k in ((13, 4), (14, 13), (200, 4), (200, 1)):
+        u = minhash.mix(rng.integers(1, 4, n).astype(np.uint64))  # few kinds, so equal grams are many
+        spans, first, count, mini, body = repeats.pieces(u, 13, k)
+        grams = [int(spans.of(np.array([i]), k)[0]) for i in range(n - k + 1)]
+        at = [min(range(i, i + 14 - k), key=lambda j: (grams[j], j)) for i in range(n - 12)]
+        runs = [list(g) for _, g in itertools.groupby(range(len(at)), at.__getitem__)]
+        assert first.tolist() == [r[0] for r in runs] and count.tolist() == list(map(len, runs)) and mini.tolist() == [grams[at[r[0]]] for r in runs]
+        assert body.tolist() == [int(spans.of(np.array([r[0]]), len(r) + 12)[0]) for r in runs]
+
+
 def test_pieces_cover_each_window_once():
     u = np.random.default_rng(3).integers(0, 5, 500).astype(np.uint64)
     _, first, n, _, _ = repeats.pieces(minhash.mix(u + np.uint64(1)), 13, 4)
