@@ -5,13 +5,13 @@ BANDS * ROWS bins, empty bins filled by optimal densification; small sets, whose
 copies, get as many independent permutations instead (sets between the two limits get both, so that any two
 sets within the threshold's size ratio share a kind).  A bucket gives star-shaped edges from one centre to
 its members, never all pairs; edges are confirmed on full sets.  A bucket's centre is the member that shares
-buckets with most others.  A failed edge does not end the search: where buckets still hold several components, every set
-outside the largest one is compared, in blocks, with those of other components.  Hence no cap anywhere.
+buckets with most others.  A failed edge does not end the search: where buckets still hold several components, their sets
+are compared with those of other components that share one of their rarest shingles.  Hence no cap anywhere.
 
 Defined results: null, empty and wordless texts have no shingles and link with nothing (a component of
 their own); a text of fewer than two words has one shingle; equal rows are in one component; a null doc_id
 orders last and shows as a null component only where nothing else is reachable; an empty table gives an
-empty result.  A very long text is one large set like any other; its bins fill, and blocks are measured in shingles.
+empty result.  A very long text is one large set like any other; its bins fill.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ BANDS, ROWS, PERCENT = 32, 4, 80
 BINS = BANDS * ROWS
 #: Sets up to SMALL get independent permutations, sets from PERCENT of that on one-permutation bins.
 SMALL = 96
-#: Shingles of a block's side when what the stars leave open is compared.
-BLOCK = 25_000
+#: Nodes of a component with one shingle that meet another's in one task when what the stars leave open is compared.
+BLOCK = 2_000
 #: Members of a bucket beyond which its rows are dealt to several tasks, and the least share of all rows for that: so no
 #: more than 1 / SHARE buckets are dealt, and their keys can be broadcast.
 CROWD, SHARE = 2_000, 2e-5
@@ -141,8 +141,20 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are within the threshold."""
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     joined = pairs.join(right, "b").join(left, "a")
-    near = joined.where(100 * F.least(F.size("x"), F.size("y")) >= PERCENT * F.greatest(F.size("x"), F.size("y"))).withColumn("both", F.size(F.array_intersect("x", "y")))
-    return near.where(100 * F.col("both") >= PERCENT * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
+    near = joined.where(100 * F.least(F.size("x"), F.size("y")) >= PERCENT * F.greatest(F.size("x"), F.size("y")))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (xs, x), (ys, y) = ((c.offsets.to_numpy(), c.values.to_numpy().view(np.uint64)) for c in b.columns[2:])
+            on = []
+            for i in range(b.num_rows):
+                s, o = x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]]
+                both = np.count_nonzero(s[np.minimum(np.searchsorted(s, o), len(s) - 1)] == o)  # sets are sorted
+                if 100 * both >= PERCENT * (len(s) + len(o) - both):
+                    on.append(i)
+            yield b.select(["a", "b"]).take(pa.array(on, pa.int64()))
+
+    return near.select("a", "b", "x", "y").mapInArrow(keep, "a bigint, b bigint")
 
 
 def _pairs(stars: DataFrame) -> DataFrame:
@@ -173,44 +185,39 @@ def _unsettled(members: DataFrame, comps: DataFrame, crowded: DataFrame) -> Data
     return own.join(_to_all(mixed, crowded), ["key", "part"], "left_semi").select("key", "part", "node", "comp")
 
 
-def _settle(open_: DataFrame, sets: DataFrame, crowded: DataFrame) -> DataFrame:
-    """Links (a, b) between components that share a bucket of open_ (key, part, node, comp).
+def _heads(own: DataFrame) -> DataFrame:
+    """(x, node, comp, n, left) of the rarest shingles x of own (node, comp, shingles); left: the set's shingles from x on.
+
+    Sets are ordered by (sets of own that have it, shingle).  Of two sets within the threshold, the first shingle in common
+    has at least the required intersection from itself on in both, so each set's first 100 - PERCENT of a hundred and one
+    are enough.  Shingles of one set only come first and pair with nothing: they are left out.
+    """
+    every = own.select("node", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("x"))
+    often = every.groupBy("x").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    ranked = every.join(often, "x").groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("own"))
+    ranked = ranked.select("node", "comp", "n", F.posexplode("own").alias("i", "s"), F.size("own").alias("m"))
+    return ranked.select(F.col("s.x").alias("x"), "node", "comp", "n", (F.col("m") - F.col("i")).alias("left")).where(f"100 * left >= {PERCENT} * n")
+
+
+def _settle(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components, of all the nodes of open_ (key, part, node, comp).
 
-    Buckets that share nodes make a family.  In it every node outside the largest component meets every node
-    of another component, in blocks of about BLOCK by BLOCK shingles: a set travels once a block, not once a pair,
-    and only links come back.
+    Nodes of two components are compared if they share one of their rarest shingles, which loses no link: neither all that
+    share a bucket nor all of a family of buckets, whose number grows with its square.  Nodes of one component never meet,
+    and components of more than BLOCK nodes with one shingle meet in parts.
     """
-    first = open_.groupBy("key").agg(F.min("node").alias("a"))
-    family = components(open_.join(_to_all(first, crowded), ["key", "part"]).select("a", F.col("node").alias("b")))
-    nodes = open_.select("node", "comp").distinct().join(family.select(F.col("id").alias("node"), F.col("component").alias("family")), "node")
-    nodes = materialize(nodes.join(sets.select("node", F.size("shingles").cast("long").alias("n")), "node"))
-    sizes = nodes.groupBy("family", "comp").agg(F.sum("n").alias("n")).groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.max("n").alias("held"), F.sum("n").alias("all"))
-    blocks = sizes.select("family", "most", F.ceil((F.col("all") - F.col("held")) / BLOCK).cast("int").alias("fs"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ms"))
-    rows = nodes.drop("n").join(blocks, "family").join(sets, "node")
-    deal = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
-    every = F.transform(F.sequence(F.lit(0), F.col("fs") - 1), lambda i: F.struct(i.alias("f"), deal("ms", 1).alias("m"), F.lit(False).alias("few")))
-    few = F.when(F.col("comp") != F.col("most"), F.transform(F.sequence(F.lit(0), F.col("ms") - 1), lambda i: F.struct(deal("fs", 2).alias("f"), i.alias("m"), F.lit(True).alias("few")))).otherwise(F.expr("array()"))
-    dealt = rows.select("family", "node", "comp", "shingles", F.explode(F.concat(every, few)).alias("x")).select("family", "x.f", "x.m", "x.few", "node", "comp", "shingles")
-
-    def block(group):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        few, all_ = group[group["few"]], group[~group["few"]]
-        out = ([], [])
-        if len(few) and len(all_):
-            sizes = np.array([len(x) for x in all_["shingles"]])
-            flat, starts = np.concatenate(list(all_["shingles"])), np.r_[0, np.cumsum(sizes)[:-1]]
-            comp, node = all_["comp"].to_numpy(), all_["node"].to_numpy()
-            for a, c, x in zip(few["node"], few["comp"], few["shingles"], strict=True):
-                own = np.sort(x)
-                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-                both = np.add.reduceat((own[at] == flat).astype(np.int64), starts)
-                for hit in node[(100 * both >= PERCENT * (sizes + len(own) - both)) & (comp != c)]:
-                    out[0].append(int(a))
-                    out[1].append(int(hit))
-        return pd.DataFrame({"a": np.array(out[0], np.int64), "b": np.array(out[1], np.int64)})
-
-    return dealt.groupBy("family", "f", "m").applyInPandas(block, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    heads = materialize(_heads(open_.select("node", "comp").distinct().join(sets, "node")))
+    # the intersection that the threshold asks for, of two nodes, or of any two of two components
+    fits = lambda left1, left2, n1, n2: (100 + PERCENT) * F.least(left1, left2) >= PERCENT * (F.col(n1) + F.col(n2))
+    comps = heads.groupBy("x", "comp").agg(F.max("left").alias("left"), F.min("n").alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    one, two = (comps.select("x", *[F.col(c).alias(f"{c}{i}") for c in ("comp", "left", "n", "parts")]) for i in (1, 2))
+    part = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    meet = one.join(two, "x").where((F.col("comp1") < F.col("comp2")) & fits("left1", "left2", "n1", "n2"))
+    meet = meet.select("x", "comp1", "comp2", part("parts1").alias("part1"), "parts2").select("x", "comp1", "comp2", "part1", part("parts2").alias("part2"))
+    dealt = heads.join(comps.select("x", "comp", "parts"), ["x", "comp"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    one, two = (dealt.select("x", *[F.col(c).alias(f"{c}{i}") for c in ("comp", "part", "node", "left", "n")]) for i in (1, 2))
+    met = meet.join(one, ["x", "comp1", "part1"]).join(two, ["x", "comp2", "part2"]).where(fits("left1", "left2", "n1", "n2"))
+    return _confirm(materialize(met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()), sets)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -234,7 +241,7 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     comps = components(links)
     open_ = materialize(_unsettled(members, comps, crowded))
     if not open_.isEmpty():
-        found = materialize(_settle(open_, sets, crowded))
+        found = materialize(_settle(open_, sets))
         if not found.isEmpty():
             comps = components(links.unionByName(found))
     named = nodes.select("node", "d").join(comps.select(F.col("id").alias("node"), "component"), "node", "left").select("node", "d", F.coalesce("component", "node").alias("comp"))

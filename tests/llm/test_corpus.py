@@ -440,6 +440,22 @@ def test_op8_chains_are_not_lost(spark):
     assert {r.doc_id: r.component_id for r in rows} == name
 
 
+def test_op8_one_bucket_of_unlike_sets_is_not_compared_in_full(spark, monkeypatch):
+    """400 sets share a passage and a bucket, each a component; two pairs are near: few are compared, both are found."""
+    rng = np.random.default_rng(5)
+    word = lambda n: rng.integers(1, 1 << 62, n)
+    passage, sets = word(20), {}
+    for i in range(400):
+        sets[i] = np.concatenate([passage, word(20)])
+    sets[1000], sets[1001] = np.concatenate([sets[7][:-2], word(2)]), np.concatenate([sets[300], word(3)])
+    confirm, compared = minhash._confirm, []
+    monkeypatch.setattr(minhash, "_confirm", lambda pairs, sets: compared.append(pairs.count()) or confirm(pairs, sets))
+    open_ = spark.createDataFrame([(1, 0, i, i) for i in sets], "key bigint, part int, node bigint, comp bigint")
+    rows = spark.createDataFrame([(i, np.sort(s).tolist()) for i, s in sets.items()], "node bigint, shingles array<bigint>")
+    assert sorted(map(tuple, minhash._settle(open_, rows).collect())) == [(7, 1000), (300, 1001)]
+    assert sum(compared) < 10
+
+
 def test_op9_counts(spark, docs, data):
     got = result(spark, "op9_quality_rules", data)
     for i, t in docs:
