@@ -200,8 +200,22 @@ _AND = f"WITH {_parts_sql('a', EV, 0)}, {_parts_sql('b', LI, 2)} SELECT k FROM a
 
 
 def _stats(s: SparkSession, d: str, order: int = 4) -> DataFrame:
+    """The records of shards: no string is aggregated over all rows, which would sort them, and none is repeated for a distinct count.
+
+    The greatest event_id as text is the greatest or the least number of some length.
+    """
     e = events(s, d).withColumn("shard_k", C.parent("k", "ord", F.lit(order)))
-    return e.groupBy("shard_k").agg(F.lit(1).cast("long").alias("n_shards"), F.count_distinct("user_id").alias("n_granules"), F.count(F.lit(1)).alias("n_obs"), F.count_distinct("k").alias("cells_with_data"), (F.count(F.lit(1)) / 4).alias("duration_s"), F.max("user_id").cast("double").alias("max_memory_mb"), F.max(F.col("event_id").cast("string")).alias("timestamp"), F.bool_and(F.col("event_id") > 3).alias("success"), F.min("event_type").alias("semantic_hash"))
+    rows = e.groupBy("shard_k", "event_type", F.length(F.col("event_id").cast("string")).alias("digits")).agg(
+        F.count(F.lit(1)).alias("n_obs"), F.max("user_id").alias("max_user"), F.max("event_id").alias("hi"), F.min("event_id").alias("lo"), F.bool_and(F.col("event_id") > 3).alias("success")
+    )
+    counts = [e.select("shard_k", c).distinct().groupBy("shard_k").agg(F.count(c).alias(name)) for c, name in (("user_id", "n_granules"), ("k", "cells_with_data"))]
+    for part in counts:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    text = F.greatest(F.col("hi").cast("string"), F.col("lo").cast("string"))
+    return rows.groupBy("shard_k").agg(
+        F.lit(1).cast("long").alias("n_shards"), F.sum("n_granules").alias("n_granules"), F.sum("n_obs").alias("n_obs"), F.sum("cells_with_data").alias("cells_with_data"), (F.sum("n_obs") / 4).alias("duration_s"),
+        F.max("max_user").cast("double").alias("max_memory_mb"), F.max(text).alias("timestamp"), F.bool_and("success").alias("success"), F.min("event_type").alias("semantic_hash"),
+    )
 
 
 _STATS = f"SELECT k >> 8 AS shard_k, count(DISTINCT user_id) AS n_granules, count(*) AS n_obs, count(DISTINCT k) AS cells_with_data, count(*) / 4.0 AS duration_s, max(user_id) AS max_memory_mb, max(CAST(event_id AS VARCHAR)) AS timestamp, bool_and(event_id > 3) AS success, min(event_type) AS semantic_hash FROM ({EV}) GROUP BY k >> 8"
@@ -253,10 +267,11 @@ def _catalog(s: SparkSession, d: str) -> str:
         pyramid = {"overview": {"orders": [2]}}
         for name, source in (("events", events(s, d)), ("orders", orders(s, d))):
             cells = source.groupBy("ord", "k").agg(F.count(F.lit(1)).alias("count"))
-            S.write_store(cells, f"{root}/{name}", 8, 3, pyramid=pyramid)
-            Y.pyramid_level(cells, {"count": "sum"}, 7).select("*", F.lit(2).alias("anc_order"), F.lit("all").alias("window"), F.lit("overview").alias("role")).write.parquet(f"{root}/{name}/overview")
+            written = S.write_store(cells, f"{root}/{name}", 8, 3, pyramid=pyramid).cells
+            Y.pyramid_level(written, {"count": "sum"}, 7).select("*", F.lit(2).alias("anc_order"), F.lit("all").alias("window"), F.lit("overview").alias("role")).write.parquet(f"{root}/{name}/overview")
         _stats(s, d, 3).write.parquet(f"{root}/events/leaf_stats")
-        nodes = _stats(s, d, 2).select(F.lit(2).alias("anc_order"), F.lit("all").alias("window"), F.col("shard_k").alias("node_k"), "n_obs")
+        node = F.shiftright("shard_k", 2).alias("node_k")
+        nodes = s.read.parquet(f"{root}/events/leaf_stats").groupBy(F.lit(2).alias("anc_order"), F.lit("all").alias("window"), node).agg(F.sum("n_obs").alias("n_obs"))
         nodes.where("n_obs > 40").write.parquet(f"{root}/events/overview_stats")
         _STORES[key] = root
     return _STORES[key]

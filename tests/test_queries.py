@@ -44,3 +44,10 @@ def test_region_filter_is_an_equi_join(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     plan = moc.overlap(moc.intervals(Q._dense(spark, DATA)), moc.intervals(Q._dense_b(spark, DATA)))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_shard_records_sort_no_rows_and_repeat_none(spark):
+    plan = Q._stats(spark, DATA, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
+    plan = Q._stats(spark, DATA, 3)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortAggregate") <= 2  # of what is left of a shard
